@@ -17,9 +17,9 @@ WITH RECURSIVE words AS (
   SELECT a.doc_id AS u, b.doc_id AS v FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id
   JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
   GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))
-), both AS (SELECT u, v FROM links UNION SELECT v, u FROM links
+), sym AS (SELECT u, v FROM links UNION SELECT v, u FROM links
 ), reach(doc_id, other) AS (
-  SELECT u, v FROM both UNION SELECT r.doc_id, b.v FROM reach r JOIN both b ON r.other = b.u
+  SELECT u, v FROM sym UNION SELECT r.doc_id, b.v FROM reach r JOIN sym b ON r.other = b.u
 ), component AS (SELECT doc_id, min(other) AS low FROM reach GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(c.low, d.doc_id)) AS component_id,
        d.doc_id = least(d.doc_id, coalesce(c.low, d.doc_id)) AS kept
