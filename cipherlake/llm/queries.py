@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cipherlake.llm import minhash
+from cipherlake.llm import decontaminate, line_dedup, minhash
 from cipherlake.llm.common import read
 from cipherlake.llm.sql import ORACLES
 
@@ -11,6 +11,16 @@ def op1_minhash_near_dedup(spark, sf_dir):
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), width=3, threshold=0.85)
 
 
+def op6_line_dedup(spark, sf_dir):
+    out = line_dedup.drop_repeated_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", "removed_all", "text")
+
+
+def op7_decontaminate(spark, sf_dir):
+    found = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op")}
 

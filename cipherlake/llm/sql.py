@@ -27,4 +27,53 @@ FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN component c
 """
 )
 
-ORACLES = {"op1_minhash_near_dedup": OP1}
+OP6 = r"""
+WITH lines AS (
+  SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL
+), places AS (
+  SELECT doc_id, ls, i AS pos FROM lines, unnest(range(0, len(ls))) AS r(i)
+), windows AS (
+  SELECT doc_id, pos, 3 AS size, '3' || chr(10) || array_to_string(list_slice(ls, pos + 1, pos + 3), chr(10)) AS w FROM places
+  WHERE pos + 3 <= len(ls) AND NOT (trim(ls[pos + 1], ' ' || chr(9) || chr(13)) = '' AND trim(ls[pos + 2], ' ' || chr(9) || chr(13)) = '' AND trim(ls[pos + 3], ' ' || chr(9) || chr(13)) = '')
+  UNION ALL
+  SELECT doc_id, pos, 1, '1' || chr(10) || ls[pos + 1] FROM places WHERE length(ls[pos + 1]) - length(replace(ls[pos + 1], ' ', '')) + 1 >= 50
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY w ORDER BY doc_id, pos) AS k FROM windows
+), covered AS (
+  SELECT DISTINCT doc_id, pos + j AS pos FROM ranked, unnest(range(0, size)) AS r(j) WHERE k > 1
+), kept AS (
+  SELECT p.doc_id, count(*) AS n_lines, count(c.pos) AS n_removed,
+         string_agg(p.ls[p.pos + 1], chr(10) ORDER BY p.pos) FILTER (WHERE c.pos IS NULL) AS text
+  FROM places p LEFT JOIN covered c ON c.doc_id = p.doc_id AND c.pos = p.pos GROUP BY p.doc_id
+)
+SELECT d.doc_id, CAST(coalesce(k.n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed,
+       coalesce(k.n_removed, 0) > 0 AND regexp_full_match(coalesce(k.text, ''), '[\s]*') AS removed_all,
+       CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text
+FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""
+
+_WORDS = "regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP7 = f"""
+WITH item_words AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL
+), windows AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS size, array_to_string(list_slice(w, i, i + least(10, len(w)) - 1), ' ') AS s
+  FROM item_words, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS r(i) WHERE len(w) > 0
+), doc_words AS (SELECT doc_id, {_WORDS} AS w FROM documents
+), grams AS (
+  SELECT doc_id, i AS pos, size, array_to_string(list_slice(w, i, i + size - 1), ' ') AS s
+  FROM doc_words, (SELECT DISTINCT size FROM windows), unnest(range(1, len(w) - size + 2)) AS r(i)
+), hits AS (
+  SELECT g.doc_id, g.pos, g.size, v.item_id FROM grams g JOIN windows v ON g.s = v.s AND g.size = v.size
+), places AS (
+  SELECT doc_id, count(DISTINCT pos + j) AS n_hit FROM hits, unnest(range(0, size)) AS r(j) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(p.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(i.n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(i.names, '')) AS items_sha256, coalesce(p.n_hit, 0) > 0 AS contaminated
+FROM doc_words d LEFT JOIN places p ON p.doc_id = d.doc_id LEFT JOIN items i ON i.doc_id = d.doc_id
+"""
+
+ORACLES = {"op1_minhash_near_dedup": OP1, "op6_line_dedup": OP6, "op7_decontaminate": OP7}
