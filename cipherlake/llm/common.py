@@ -32,6 +32,23 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bits of the membership filter; one 64-bit word to a row, so at most ``FILTER_BITS / 64`` rows are broadcast.
+FILTER_BITS = 1 << 22
+
+
+def possibly_in(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """``df`` less most rows whose ``column`` is not in ``ids`` (one column of that name, no nulls).
+
+    A hashed bitmap of fixed size is built by aggregation and broadcast, so wide
+    rows that cannot match are not shuffled to the exact join that must follow.
+    However many ids there are, no row that matches is lost.
+    """
+    bit = lambda: F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+    words = ids.select(bit().alias("h")).selectExpr("h div 64 AS __word", "shiftleft(1L, CAST(h % 64 AS INT)) AS b").groupBy("__word").agg(F.bit_or("b").alias("__bits"))
+    marked = df.withColumn("__h", bit()).withColumn("__word", F.expr("__h div 64"))
+    return marked.join(F.broadcast(words), "__word").where("bit_get(__bits, CAST(__h % 64 AS INT)) = 1").select(*df.columns)
+
+
 def is_held_out(doc_id) -> bool:
     """Rows of the evaluation fold: crc32 of the id as text, modulo 5, is 0."""
     return zlib.crc32(str(doc_id).encode()) % 5 == 0

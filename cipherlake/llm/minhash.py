@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from cipherlake.llm.common import LOWER, components, materialise
+from cipherlake.llm.common import LOWER, components, materialise, possibly_in
 
 ROWS = 4
 #: The chance to miss a pair at the threshold is below this.
@@ -32,7 +32,7 @@ MISS = 1e-5
 #: Set elements hashed at a time; bounds the memory a very long text takes.
 CHUNK = 1 << 14
 #: Members, and set elements, of a block when members of a bucket are compared directly.
-BLOCK, BLOCK_ELEMS = 512, 2_000_000
+BLOCK, BLOCK_ELEMS = 512, 1_000_000
 _SCHEMA = "doc_id long, n_shingles long, k1 long, k2 long, sig array<int>"
 
 
@@ -144,7 +144,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) ->
     met = banded.join(crowded, "bucket")
     mass = met.groupBy("id").agg(F.sum("n").alias("mass"))
     met = materialise(met.join(mass, "id").select("bucket", "id", "mass"), "met")
-    sets = materialise(_sets(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(met.select("id").distinct(), "id", "left_semi"), width), "sets")
+    ids = met.select("id").distinct()
+    texts = possibly_in(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), ids, "id")
+    sets = materialise(_sets(texts.join(ids, "id", "left_semi"), width), "sets")
     lead = met.groupBy("bucket").agg(F.max(F.struct("mass", "id")).alias("top")).select("bucket", F.col("top.id").alias("u"))
     pairs = met.join(lead, "bucket").where("id <> u").select("u", F.col("id").alias("v")).distinct()
     links = materialise(_confirmed(pairs, sets, percent), "confirmed")
