@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cipherlake.llm import decontaminate, line_dedup, minhash
+from cipherlake.llm import decontaminate, line_dedup, minhash, mixing, toxicity
 from cipherlake.llm.common import read
 from cipherlake.llm.sql import ORACLES
 
@@ -11,6 +11,14 @@ def op1_minhash_near_dedup(spark, sf_dir):
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), width=3, threshold=0.85)
 
 
+def op4_source_mixing(spark, sf_dir):
+    return mixing.mix(read(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark, sf_dir):
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op6_line_dedup(spark, sf_dir):
     out = line_dedup.drop_repeated_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed", "removed_all", "text")

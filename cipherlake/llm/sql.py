@@ -52,6 +52,40 @@ SELECT d.doc_id, CAST(coalesce(k.n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesc
 FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
 """
 
+OP4 = r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, length(coalesce(text, '')) AS chars FROM documents
+), keyed AS (
+  SELECT doc_id, source, CAST(size AS BIGINT) AS size,
+         -ln((CAST(('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) + CAST(0.5 AS DOUBLE)) / CAST(4503599627370496 AS DOUBLE))
+           / CASE WHEN size >= 20 AND chars >= 3 * size AND chars <= 12 * size THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END AS key
+  FROM sized
+), sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM keyed GROUP BY source
+), weighed AS (
+  SELECT source, source_size, CAST(3 * source_size AS DOUBLE) AS most,
+         CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w
+  FROM sources
+), levelled AS (
+  SELECT *, row_number() OVER r AS k,
+    (sum(source_size) OVER () - coalesce(sum(most) OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / CAST(sum(w) OVER () - coalesce(sum(w) OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS level
+  FROM weighed WINDOW r AS (ORDER BY most / w, source NULLS LAST)
+), first_free AS (
+  SELECT k, level FROM levelled WHERE level * w <= most ORDER BY k LIMIT 1
+), goals AS (
+  SELECT source, source_size, round(CASE WHEN f.k IS NULL OR l.k < f.k THEN most ELSE f.level * w END, 6) AS target
+  FROM levelled l LEFT JOIN first_free f ON true
+), parts AS (
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM goals
+), summed AS (
+  SELECT doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM keyed
+)
+SELECT s.doc_id, s.size, p.source_size, p.target,
+       CAST(s.size * (p.epochs + CASE WHEN 2 * s.before + s.size <= 2 * (p.target - p.epochs * p.source_size) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM summed s JOIN parts p ON s.source IS NOT DISTINCT FROM p.source
+"""
+
 _WORDS = "regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 OP7 = f"""
@@ -76,4 +110,4 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(p.n_hit, 0)
 FROM doc_words d LEFT JOIN places p ON p.doc_id = d.doc_id LEFT JOIN items i ON i.doc_id = d.doc_id
 """
 
-ORACLES = {"op1_minhash_near_dedup": OP1, "op6_line_dedup": OP6, "op7_decontaminate": OP7}
+ORACLES = {"op1_minhash_near_dedup": OP1, "op4_source_mixing": OP4, "op6_line_dedup": OP6, "op7_decontaminate": OP7}
