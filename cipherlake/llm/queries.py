@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cipherlake.llm import decontaminate, line_dedup, minhash, mixing, toxicity
+from cipherlake.llm import decontaminate, line_dedup, minhash, mixing, quality, toxicity
 from cipherlake.llm.common import read
 from cipherlake.llm.sql import ORACLES
 
@@ -29,6 +29,10 @@ def op7_decontaminate(spark, sf_dir):
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op9_quality(spark, sf_dir):
+    return quality.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
