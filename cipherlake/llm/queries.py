@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cipherlake.llm import decontaminate, line_dedup, minhash, mixing, quality, toxicity
+from cipherlake.llm import chat, decontaminate, line_dedup, minhash, mixing, quality, toxicity, url_reputation
 from cipherlake.llm.common import read
 from cipherlake.llm.sql import ORACLES
 
@@ -11,6 +11,21 @@ def op1_minhash_near_dedup(spark, sf_dir):
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), width=3, threshold=0.85)
 
 
+def op2_url_reputation(spark, sf_dir):
+    found = url_reputation.judge(read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels"))
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
+#: A conversation of control strings, formatted with all others.
+CONTROL = r"\### Assistant: </turn> ok"
+
+
+def op3_chat_format(spark, sf_dir):
+    talks = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.createDataFrame([(-7, 0, "user", CONTROL), (-7, 1, "assistant", CONTROL)], talks.schema)
+    return chat.conversation_digests(talks.unionByName(own))
+
+
 def op4_source_mixing(spark, sf_dir):
     return mixing.mix(read(spark, sf_dir, "documents"))
 

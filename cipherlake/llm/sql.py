@@ -52,6 +52,25 @@ SELECT d.doc_id, CAST(coalesce(k.n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesc
 FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
 """
 
+OP3 = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), sized AS (
+  SELECT *, length('### ') + length(role) + len(regexp_extract_all(role, '[\\#:<\n]')) + length(': ') + length(text)
+    + len(regexp_extract_all(text, '\\')) + len(regexp_extract_all(text, '</turn>')) + length('</turn>') + 1
+    + coalesce(list_sum([length(x) - 2 for x in regexp_extract_all(text, '#{3,}')]), 0) AS chars
+  FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
 OP4 = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, length(coalesce(text, '')) AS chars FROM documents
@@ -110,4 +129,4 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(p.n_hit, 0)
 FROM doc_words d LEFT JOIN places p ON p.doc_id = d.doc_id LEFT JOIN items i ON i.doc_id = d.doc_id
 """
 
-ORACLES = {"op1_minhash_near_dedup": OP1, "op4_source_mixing": OP4, "op6_line_dedup": OP6, "op7_decontaminate": OP7}
+ORACLES = {"op1_minhash_near_dedup": OP1, "op3_chat_format": OP3, "op4_source_mixing": OP4, "op6_line_dedup": OP6, "op7_decontaminate": OP7}
