@@ -161,6 +161,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) ->
     return out.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def keep_one(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
+    """``docs`` less the near duplicates: of each component the row with the smallest doc_id stays, with all its columns.
+
+    Of rows that repeat a doc_id one stays, that with the smallest text hash.
+    Rows without words, and rows with a null doc_id, stay.
+    """
+    found = near_duplicates(docs, width, threshold)
+    rest = docs.join(found.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    again = materialise(found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
+    if again.isEmpty():
+        return rest
+    once = rest.join(again, "doc_id", "left_semi").withColumn("__h", F.xxhash64("text"))
+    first = once.groupBy("doc_id").agg(F.min("__h").alias("__h"))
+    return rest.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once.join(first, ["doc_id", "__h"], "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
+
+
 def _unresolved(met: DataFrame, lead: DataFrame, comp: DataFrame, sets: DataFrame) -> DataFrame:
     """Rows (bucket, i, j, id, comp, elems): blocks of buckets whose members other than the leader are in several components.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cipherlake.llm import chat, decontaminate, line_dedup, minhash, mixing, quality, toxicity, url_reputation
+from cipherlake.llm import chat, decontaminate, line_dedup, minhash, mixing, quality, secret_scan, toxicity, url_reputation
 from cipherlake.llm.common import read
 from cipherlake.llm.sql import ORACLES
 
@@ -44,6 +44,10 @@ def op7_decontaminate(spark, sf_dir):
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op8_secret_scan(spark, sf_dir):
+    return secret_scan.scan(read(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark, sf_dir):
     return quality.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
