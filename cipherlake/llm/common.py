@@ -16,6 +16,19 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def strings(column):
+    """The strings of an Arrow column, a few at a time: a batch's texts are never all Python objects at once."""
+    for i in range(0, len(column), 128):
+        yield from column.slice(i, 128).to_pylist()
+
+
+def parts(batches, rows: int = 500):
+    """Arrow batches of at most ``rows`` rows, for what is large by row."""
+    for batch in batches:
+        for i in range(0, len(batch), rows):
+            yield batch.slice(i, rows)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share; a temporary one only where the session names none (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -21,6 +21,8 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from cipherlake.llm.common import strings
+
 #: Bytes that part words: ASCII other than letters and digits; A-Z become a-z.
 WORDS = bytes((c + 32 if 65 <= c <= 90 else c) if chr(c).isalnum() or c > 127 else 32 for c in range(128)) + bytes(range(128, 256))
 
@@ -53,7 +55,7 @@ def token_counts(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int]:
     def run(batches):
         total: Counter = Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in strings(batch.column(0)):
                 total.update(filter(known.value.__contains__, words(text)))
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], ["token", "n"])
 
@@ -116,7 +118,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_
             for batch in batches:
                 starts, ends, items = (batch.column(i).to_pylist() for i in (3, 4, 5))
                 sizes = []
-                for k, text in enumerate(batch.column(1).to_pylist()):
+                for k, text in enumerate(strings(batch.column(1))):
                     tokens = words(text)
                     sizes.append(len(tokens))
                     spans, of = find(tokens, index.value)
@@ -142,7 +144,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10,
 
         def run(batches, index=index):
             for batch in batches:
-                yield batch.filter(pa.array([not find(words(t), index.value)[0] for t in batch.column(at).to_pylist()], pa.bool_()))
+                yield batch.filter(pa.array([not find(words(t), index.value)[0] for t in strings(batch.column(at))], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

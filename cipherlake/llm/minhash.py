@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from cipherlake.llm.common import LOWER, components, materialise, possibly_in
+from cipherlake.llm.common import LOWER, components, materialise, parts, possibly_in, strings
 
 ROWS = 4
 #: The chance to miss a pair at the threshold is below this.
@@ -46,7 +46,7 @@ class _Words(dict):
     """64-bit word hashes, kept for words met before; emptied when large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -91,9 +91,9 @@ def signatures(docs: DataFrame, width: int, threshold: float) -> DataFrame:
 
     def run(batches):
         words, (mul, add) = _Words(), permutations(n)
-        for batch in batches:
+        for batch in parts(batches):
             sizes, k1, k2, sigs = [], [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in strings(batch.column(1)):
                 s = shingle_set(text, width, words)
                 sizes.append(len(s))
                 if not len(s):
@@ -109,8 +109,8 @@ def signatures(docs: DataFrame, width: int, threshold: float) -> DataFrame:
 def _sets(docs: DataFrame, width: int) -> DataFrame:
     def run(batches):
         words = _Words()
-        for batch in batches:
-            sets = [shingle_set(t, width, words).view(np.int64) for t in batch.column(1).to_pylist()]
+        for batch in parts(batches):
+            sets = [shingle_set(t, width, words).view(np.int64) for t in strings(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "elems"])
 
     return docs.mapInArrow(run, "id long, elems array<long>")

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from cipherlake.llm.common import LOWER, held_out, labelled_sample
+from cipherlake.llm.common import LOWER, held_out, labelled_sample, strings
 
 NAMES = ("log_words", "word_length", "distinct_words", "top_word", "adjacent_repeats", "distinct_pairs", "digits", "upper", "exclamations", "bars", "symbols", "stops", "non_ascii", "blanks", "log_lines", "distinct_lines", "words_per_line", "ends_with_stop", "long_words", "short_words", "links", "brackets")
 _DIGITS, _UPPER = np.arange(48, 58), np.arange(65, 91)
@@ -122,7 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000) -> Trees |
 
     def run(batches):
         for batch in batches:
-            rows = [features(t) for t in batch.column(0).to_pylist()]
+            rows = [features(t) for t in strings(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
 
     rows = labelled_sample(docs.sparkSession, docs, labels, "quality", per_class).select("text", "label").mapInArrow(run, "x array<double>, y int").collect()
@@ -148,7 +148,7 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, per_clas
 
     def run(batches):
         for batch in batches:
-            x = np.array([features(t) for t in batch.column(1).to_pylist()]).reshape(-1, len(NAMES))
+            x = np.array([features(t) for t in strings(batch.column(1))]).reshape(-1, len(NAMES))
             s = np.zeros(len(x)) if model.value is None else 1 / (1 + np.exp(-np.clip(model.value.margin(x), -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from cipherlake.llm.common import held_out, labelled_sample
+from cipherlake.llm.common import held_out, labelled_sample, strings
 
 TOKEN = re.compile(r"[^\W_]+(?:['’]t)?")
 CLAUSE = re.compile(r"[.!?;:,\n]+")
@@ -114,7 +114,7 @@ def _term_counts(sample: DataFrame) -> DataFrame:
     def run(batches):
         pos, n = Counter(), Counter()
         for batch in batches:
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for text, label in zip(strings(batch.column(0)), strings(batch.column(1))):
                 words = set(TOKEN.findall((text or "").lower()))
                 words |= {"^" + w[:STEM] for w in words if len(w) > STEM}
                 n.update(words)
@@ -165,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, most_terms:
 
     def run(batches):
         for batch in batches:
-            rows = [known.value.features(t) for t in batch.column(0).to_pylist()]
+            rows = [known.value.features(t) for t in strings(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
 
     rows = sample.select("text", "label").mapInArrow(run, "x array<double>, y int").collect()
@@ -181,9 +181,9 @@ def _scorer(docs: DataFrame, labels: DataFrame, **how):
 
     def score(texts) -> np.ndarray:
         if model.value is None:
-            return np.zeros(len(texts))
+            return np.array([0.0 for _ in texts])
         grammar, w = model.value
-        x = np.array([grammar.features(t) for t in texts]).reshape(len(texts), FEATURES)
+        x = np.array([grammar.features(t) for t in texts]).reshape(-1, FEATURES)
         return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
 
     return score
@@ -200,7 +200,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            s = score(batch.column(1).to_pylist())
+            s = score(strings(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     fold = held_out(F.coalesce(F.col("doc_id").cast("string"), F.lit("None")))
@@ -213,6 +213,6 @@ def without_toxic(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            yield batch.filter(pa.array(score(batch.column(at).to_pylist()) < 0.5, pa.bool_()))
+            yield batch.filter(pa.array(score(strings(batch.column(at))) < 0.5, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
