@@ -44,6 +44,8 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
+#: Members, and their weight, of a block when members of a bucket are compared directly.
+BLOCK, BLOCK_WEIGHT = 512, 1_000_000
 
 #: Bits of the membership filter; one 64-bit word to a row, so at most ``FILTER_BITS / 64`` rows are broadcast.
 FILTER_BITS = 1 << 22
@@ -116,3 +118,32 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).distinct()
         now = materialise(small, "links")
+
+
+def open_blocks(met: DataFrame, comp: DataFrame, items: DataFrame) -> DataFrame:
+    """Blocks of members that must be compared directly: rows (bucket, i, j, comp) and the columns of ``items``.
+
+    ``met (bucket, id)`` are the buckets, each compared with one leader already,
+    ``comp (node, component)`` what came of it, ``items (id, weight, ...)`` what a
+    comparison needs. Buckets come in whose members are in several components.
+
+    Members of a bucket's largest component need no comparison with each other,
+    so only blocks with others meet every block. Buckets with the same members
+    are taken once. A block holds at most ``BLOCK`` members and about
+    ``BLOCK_WEIGHT`` of weight, so no group grows with the corpus.
+    """
+    placed = met.join(comp.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("comp"))
+    sized = placed.join(items.groupBy("id").agg(F.max("weight").alias("weight")), "id")
+    parts = sized.groupBy("bucket", "comp").agg(F.count("*").alias("n"), F.sum("weight").alias("e"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("mark"))
+    whole = parts.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("e").alias("e"), F.sum("mark").alias("mark"), F.count("*").alias("comps"), F.max(F.struct("n", "e", "comp")).alias("top"))
+    # with a leader and one other component, or two members, every pair across components has been compared
+    open_ = whole.where("n > 2 and comps > 1").groupBy("n", "e", "mark").agg(F.min(F.struct("bucket", "top")).alias("b")).select("b.bucket", F.col("b.top").alias("top"), "n", "e")
+    blocks = lambda n, e: F.greatest(F.ceil(n / BLOCK), F.ceil(e / BLOCK_WEIGHT)).cast("int")
+    open_ = open_.select("bucket", F.col("top.comp").alias("main"), blocks(F.col("top.n"), F.col("top.e")).alias("n_in"), blocks(F.col("n") - F.col("top.n"), F.col("e") - F.col("top.e")).alias("n_out"))
+    rows = placed.join(open_, "bucket").withColumn("inner", F.col("comp") == F.col("main"))
+    rows = rows.withColumn("own", F.when(F.col("inner"), F.col("n_out") + F.pmod(F.xxhash64("id"), F.col("n_in"))).otherwise(F.pmod(F.xxhash64("id"), F.col("n_out"))).cast("int"))
+    # blocks 0 .. n_out-1 hold the others; a pair (i, j) has i among them
+    last = F.when(F.col("inner"), F.col("n_out")).otherwise(F.col("n_out") + F.col("n_in"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), (last - 1).cast("int"))))
+    rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "comp")
+    return rows.join(items, "id")

@@ -24,15 +24,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from cipherlake.llm.common import LOWER, components, materialise, parts, possibly_in, strings
+from cipherlake.llm.common import LOWER, components, materialise, open_blocks, parts, possibly_in, strings
 
 ROWS = 4
 #: The chance to miss a pair at the threshold is below this.
 MISS = 1e-5
 #: Set elements hashed at a time; bounds the memory a very long text takes.
 CHUNK = 1 << 14
-#: Members, and set elements, of a block when members of a bucket are compared directly.
-BLOCK, BLOCK_ELEMS = 512, 1_000_000
 _SCHEMA = "doc_id long, n_shingles long, k1 long, k2 long, sig array<int>"
 
 
@@ -146,12 +144,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) ->
     met = materialise(met.join(mass, "id").select("bucket", "id", "mass"), "met")
     ids = met.select("id").distinct()
     texts = possibly_in(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), ids, "id")
-    sets = materialise(_sets(texts.join(ids, "id", "left_semi"), width), "sets")
+    # an inner join: a semi join would be pushed below the filter
+    sets = materialise(_sets(texts.join(ids, "id"), width), "sets")
     lead = met.groupBy("bucket").agg(F.max(F.struct("mass", "id")).alias("top")).select("bucket", F.col("top.id").alias("u"))
     pairs = met.join(lead, "bucket").where("id <> u").select("u", F.col("id").alias("v")).distinct()
     links = materialise(_confirmed(pairs, sets, percent), "confirmed")
     comp = components(links)
-    rest = _unresolved(met, lead, comp, sets)
+    rest = open_blocks(met, comp, sets.withColumn("weight", F.size("elems")))
     more = materialise(rest.groupBy("bucket", "i", "j").applyInPandas(_links_in_block(percent), "u long, v long").distinct(), "rest")
     comp = components(links.select("u", "v").union(more))
     named = classes.select("k1", "k2", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
@@ -177,31 +176,6 @@ def keep_one(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFra
     return rest.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once.join(first, ["doc_id", "__h"], "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
 
 
-def _unresolved(met: DataFrame, lead: DataFrame, comp: DataFrame, sets: DataFrame) -> DataFrame:
-    """Rows (bucket, i, j, id, comp, elems): blocks of buckets whose members other than the leader are in several components.
-
-    Members of a bucket's largest component need no comparison with each other,
-    so only blocks with others meet every block. Buckets with the same members
-    are taken once. A block holds at most ``BLOCK`` members and about
-    ``BLOCK_ELEMS`` set elements, so no group grows with the corpus.
-    """
-    placed = met.join(comp.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("comp"))
-    sized = placed.join(sets.select("id", F.size("elems").alias("n_elems")).groupBy("id").agg(F.max("n_elems").alias("n_elems")), "id")
-    parts = sized.groupBy("bucket", "comp").agg(F.count("*").alias("n"), F.sum("n_elems").alias("e"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("mark"))
-    whole = parts.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("e").alias("e"), F.sum("mark").alias("mark"), F.count("*").alias("comps"), F.max(F.struct("n", "e", "comp")).alias("top"))
-    # with a leader and one other component, or two members, every pair across components has been compared
-    open_ = whole.where("n > 2 and comps > 1").groupBy("n", "e", "mark").agg(F.min(F.struct("bucket", "top")).alias("b")).select("b.bucket", F.col("b.top").alias("top"), "n", "e")
-    blocks = lambda n, e: F.greatest(F.ceil(n / BLOCK), F.ceil(e / BLOCK_ELEMS)).cast("int")
-    open_ = open_.select("bucket", F.col("top.comp").alias("main"), blocks(F.col("top.n"), F.col("top.e")).alias("n_in"), blocks(F.col("n") - F.col("top.n"), F.col("e") - F.col("top.e")).alias("n_out"))
-    rows = placed.join(open_, "bucket").withColumn("inner", F.col("comp") == F.col("main"))
-    rows = rows.withColumn("own", F.when(F.col("inner"), F.col("n_out") + F.pmod(F.xxhash64("id"), F.col("n_in"))).otherwise(F.pmod(F.xxhash64("id"), F.col("n_out"))).cast("int"))
-    # blocks 0 .. n_out-1 hold the others; a pair (i, j) has i among them
-    last = F.when(F.col("inner"), F.col("n_out")).otherwise(F.col("n_out") + F.col("n_in"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), (last - 1).cast("int"))))
-    rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "comp")
-    return rows.join(sets, "id").select("bucket", "i", "j", "id", "comp", "elems")
-
-
 def _links_in_block(percent: int):
     """Links across components within one pair of blocks, as edges to the smallest member reached."""
 
