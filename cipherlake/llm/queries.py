@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cipherlake.llm import chat, decontaminate, line_dedup, minhash, mixing, quality, secret_scan, toxicity, url_reputation
+from cipherlake.llm import chat, decontaminate, line_dedup, media, minhash, mixing, quality, secret_scan, toxicity, url_reputation
 from cipherlake.llm.common import read
 from cipherlake.llm.sql import ORACLES
 
@@ -52,6 +52,12 @@ def op9_quality(spark, sf_dir):
     return quality.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op10_image_copies(spark, sf_dir):
+    """Copies among ``embeddings`` drawn as images: the tables hold no media of their own."""
+    vectors = read(spark, sf_dir, "embeddings").selectExpr("CAST(vec_id AS BIGINT) AS id", "embedding")
+    return media.image_copies(media.tiles(vectors)).withColumnRenamed("id", "vec_id")
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
