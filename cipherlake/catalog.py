@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+FAMILIES = ("relational",)
+
+
+def _entries() -> dict[str, tuple]:
+    found: dict[str, tuple] = {}
+    for family in FAMILIES:
+        found.update(importlib.import_module(f"cipherlake.plans.{family}").QUERIES)
+    return found
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """De-duplicated findings of the built-in source lines."""
+    return queries()["q_dedup_findings"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: entry[0] for name, entry in _entries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: entry[1] for name, entry in _entries().items() if entry[1]}
