@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FAMILIES = ("relational",)
+FAMILIES = ("relational", "inventory")
 
 
 def _entries() -> dict[str, tuple]:
