@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FAMILIES = ("relational", "inventory")
+FAMILIES = ("relational", "inventory", "detect")
 
 
 def _entries() -> dict[str, tuple]:
@@ -18,8 +18,13 @@ def _entries() -> dict[str, tuple]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """De-duplicated findings of the built-in source lines."""
-    return queries()["q_dedup_findings"](spark, sf_dir)
+    """De-duplicated findings of the sample source files: lines, noise filter, rule join, one finding per key."""
+    from cipherlake.operators.detect import lines, match_text_rules
+    from cipherlake.operators.relational import dedupe
+    from cipherlake.sources.samples import files
+
+    found = match_text_rules(lines(files(spark))).withColumnsRenamed({"path": "file_path", "line_no": "line_start"})
+    return dedupe(found, ties=("algorithm",))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
