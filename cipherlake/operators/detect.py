@@ -17,7 +17,7 @@ def lines(files: DataFrame) -> DataFrame:
 
 
 def trimmed(line: Column) -> Column:
-    return F.regexp_replace(line, r"^[ \t\r\x0B\f]+|[ \t\r\x0B\f]+$", "")
+    return F.btrim(line, F.lit(" \t\r\x0b\f"))
 
 
 def is_noise(line: Column, language: Column) -> Column:

@@ -37,7 +37,7 @@ def _groups():
     return [(r[0], g[0], sev.get(r[2], 3), thr.get(r[3], 2), CATEGORY_ORDINALS.get(r[4], 0), "|".join(f"(?:{p})" for p in g[2])) for r in TEXT_RULES for g in r[7]]
 
 
-_RULES = "r AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{lang}', {s}, {t}, {c}, {_t(rx)})" for a, lang, s, t, c, rx in _groups()) + ") AS v(rule_id, language, severity, quantum_threat, category, regex))"
+_RULES = "r AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{lang}', {s}, {t}, {c}, {_t(rx)})" for a, lang, s, t, c, rx in _groups()) + ") AS v(rule_id, rule_language, severity, quantum_threat, category, regex))"
 
 
 def _first(rules, column="line", at=0):
@@ -106,11 +106,11 @@ QUERIES = {
     ),
     "q_rule_match": (
         lambda s, d: D.match_text_rules(lines_of(s)).select("path", "line_no", "rule_id", "severity", "quantum_threat", "category", "code_snippet"),
-        f"WITH {lines_cte()}, {_RULES} SELECT path, line_no, rule_id, severity, quantum_threat, category, t AS code_snippet FROM l JOIN r ON l.language = r.language AND regexp_matches(line, regex) WHERE NOT {_NOISE}",
+        f"WITH {lines_cte()}, {_RULES} SELECT path, line_no, rule_id, severity, quantum_threat, category, t AS code_snippet FROM l JOIN r ON l.language = rule_language AND regexp_matches(line, regex) WHERE NOT {_NOISE}",
     ),
     "q_rule_match_volume": (
         lambda s, d: D.match_text_rules(D.lines(table(s, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.lit("python").alias("language"), F.concat("text", F.lit("\nhashlib.md5("), F.col("doc_id").cast("string"), F.lit(")")).alias("content")))).groupBy("rule_id").agg(F.count("*").alias("n"), F.countDistinct("path").alias("paths")),
-        f"WITH l AS (SELECT path, 'python' AS language, unnest(string_split(content, chr(10))) AS line FROM (SELECT CAST(doc_id AS VARCHAR) AS path, text || chr(10) || 'hashlib.md5(' || doc_id || ')' AS content FROM documents)), {_RULES} SELECT rule_id, count(*) AS n, count(DISTINCT path) AS paths FROM (SELECT *, trim(replace(replace(line, chr(9), ' '), chr(13), ' ')) AS t FROM l) l JOIN r ON l.language = r.language AND regexp_matches(line, regex) WHERE NOT {_NOISE} GROUP BY rule_id",
+        f"WITH l AS (SELECT path, 'python' AS language, unnest(string_split(content, chr(10))) AS line FROM (SELECT CAST(doc_id AS VARCHAR) AS path, text || chr(10) || 'hashlib.md5(' || doc_id || ')' AS content FROM documents)), {_RULES} SELECT rule_id, count(*) AS n, count(DISTINCT path) AS paths FROM (SELECT *, trim(replace(replace(line, chr(9), ' '), chr(13), ' ')) AS t FROM l) l JOIN r ON l.language = rule_language AND regexp_matches(line, regex) WHERE NOT {_NOISE} GROUP BY rule_id",
     ),
     "q_java_rules": (
         lambda s, d: D.java_findings(lines_of(s, ".java")).select("path", "line_no", "rule_id", "algorithm", "severity", "quantum_threat", "category", "key_size", "confidence"),
@@ -156,7 +156,7 @@ QUERIES = {
     ),
     "q_scan_pipeline": (
         lambda s, d: scan(s),
-        f"WITH {lines_cte()}, {_RULES}, m AS (SELECT path, line_no, rule_id, severity, quantum_threat FROM l JOIN r ON l.language = r.language AND regexp_matches(line, regex) WHERE NOT {_NOISE}) SELECT count(*) AS findings, count(DISTINCT path) AS files, round(least((count(*) FILTER (WHERE quantum_threat = 0) + count(*) FILTER (WHERE quantum_threat = 1) * CAST(0.4 AS DOUBLE)) / count(*) * 100, 100), 6) AS risk_score FROM (SELECT DISTINCT path, line_no, rule_id, quantum_threat FROM m)",
+        f"WITH {lines_cte()}, {_RULES}, m AS (SELECT path, line_no, rule_id, severity, quantum_threat FROM l JOIN r ON l.language = rule_language AND regexp_matches(line, regex) WHERE NOT {_NOISE}) SELECT count(*) AS findings, count(DISTINCT path) AS files, round(least((count(*) FILTER (WHERE quantum_threat = 0) + count(*) FILTER (WHERE quantum_threat = 1) * CAST(0.4 AS DOUBLE)) / count(*) * 100, 100), 6) AS risk_score FROM (SELECT DISTINCT path, line_no, rule_id, quantum_threat FROM m)",
     ),
 }
 
