@@ -34,3 +34,12 @@ def files(spark: SparkSession) -> DataFrame:
 
 def diffs(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(DIFFS.items()), "sha string, diff string")
+
+FILES["/app/load.go"] = (
+    "go",
+    'package app\n\nimport (\n\t"crypto/aes"\n\tec "crypto/ecdsa"\n\t"crypto/elliptic"\n\t"crypto/hmac"\n\t"crypto/rsa"\n\t"crypto/sha1"\n\t"crypto/tls"\n)\n\nvar shared = make([]byte, 16)\n\nfunc load(name string, n int) *rsa.PrivateKey {\n\tp, err := rsa.GenerateKey(rand.Reader, 4096)\n\te, _ := ec.GenerateKey(elliptic.P384(), rand.Reader)\n\tb, _ := aes.NewCipher(shared)\n\tlocal := make([]byte, 32)\n\tc, _ := aes.NewCipher(local)\n\tm := hmac.New(sha1.New, local)\n\told := &tls.Config{MinVersion: tls.VersionTLS11}\n\tplain := &tls.Config{ServerName: "x"}\n\tq := p\n\tsend(q, b)\n\tmode := "DES"\n\tsend(mode, c)\n\tkeep(e, m, old, plain, err)\n\treturn p\n}\n',
+)
+FILES["/app/send.go"] = (
+    "go",
+    "package app\n\nfunc send(key any, block any) {\n\tfinish(key)\n\tgcm, _ := cipher.NewGCM(block)\n\tuse(gcm)\n}\n\nfunc finish(k any) {\n\tsig, _ := rsa.SignPSS(rand.Reader, k, h, d, nil)\n\tuse(sig)\n}\n",
+)
