@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FAMILIES = ("relational", "inventory", "detect", "models", "signals", "graphs", "calls")
+FAMILIES = ("relational", "inventory", "detect", "models", "signals", "graphs", "calls", "streams", "surface")
 
 
 def _entries() -> dict[str, tuple]:
