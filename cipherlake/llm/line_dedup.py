@@ -2,8 +2,9 @@
 
 Every run of three consecutive lines is hashed to 128 bits. A window that
 occurs more than once anywhere in the corpus keeps its first occurrence, by
-(doc_id, text hash, line); the lines under every later one are covered, and a
-document loses the union of its covered lines. A single line of ``long_words``
+(doc_id, text hash, line); the lines under every later one are covered (where it
+overlaps the first, those after it), and a document loses the union of its
+covered lines. A single line of ``long_words``
 words or more is a window too, because a passage can stand in one line.
 
 Scale: one aggregation with map-side combine finds each window's first
@@ -44,8 +45,11 @@ def covered_lines(docs: DataFrame, long_words: int = 50) -> DataFrame:
     occ = materialise(_occurrences(docs.select("doc_id", "text").where("text is not null and doc_id is not null"), long_words), "windows")
     at = F.struct("doc_id", "th", "pos")
     first = occ.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last").select("h1", "h2", "first")
-    later = occ.join(first, ["h1", "h2"]).where(at > F.col("first")).select("doc_id", "th", "pos", "len").distinct()
-    lines = F.flatten(F.collect_list(F.sequence("pos", F.col("pos") + F.col("len") - 1)))
+    # where it overlaps the first occurrence, a later one covers only the lines after that
+    same = (F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.th") == F.col("th"))
+    start = F.when(same, F.greatest("pos", F.col("first.pos") + F.col("len"))).otherwise(F.col("pos"))
+    later = occ.join(first, ["h1", "h2"]).where(at > F.col("first")).select("doc_id", "th", start.alias("start"), (F.col("pos") + F.col("len") - 1).alias("end")).distinct()
+    lines = F.flatten(F.collect_list(F.sequence("start", "end")))
     return later.groupBy("doc_id", "th").agg(F.array_distinct(lines).alias("covered"))
 
 

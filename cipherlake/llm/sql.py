@@ -38,9 +38,9 @@ WITH lines AS (
   UNION ALL
   SELECT doc_id, pos, 1, '1' || chr(10) || ls[pos + 1] FROM places WHERE length(ls[pos + 1]) - length(replace(ls[pos + 1], ' ', '')) + 1 >= 50
 ), ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY w ORDER BY doc_id, pos) AS k FROM windows
+  SELECT *, row_number() OVER o AS k, first_value(doc_id) OVER o AS first_doc, first_value(pos) OVER o AS first_pos FROM windows WINDOW o AS (PARTITION BY w ORDER BY doc_id, pos)
 ), covered AS (
-  SELECT DISTINCT doc_id, pos + j AS pos FROM ranked, unnest(range(0, size)) AS r(j) WHERE k > 1
+  SELECT DISTINCT doc_id, pos + j AS pos FROM ranked, unnest(range(0, size)) AS r(j) WHERE k > 1 AND (doc_id <> first_doc OR pos + j >= first_pos + size)
 ), kept AS (
   SELECT p.doc_id, count(*) AS n_lines, count(c.pos) AS n_removed,
          string_agg(p.ls[p.pos + 1], chr(10) ORDER BY p.pos) FILTER (WHERE c.pos IS NULL) AS text
