@@ -44,7 +44,7 @@ def phase_union(phases: dict[str, DataFrame]) -> DataFrame:
 
 
 def summary(findings: DataFrame) -> DataFrame:
-    """Counts by severity, category, language, threat and in total, in one pass. [D1]"""
+    """Counts by severity, category, language, threat and in total, in one pass; no rows without findings. [D1]"""
     labelled = findings.select(severity_label(F.col("severity")).alias("severity"), category_label(F.col("category")).alias("category"), "language", threat_label(F.col("quantum_threat")).alias("threat"))
     grouped = labelled.groupingSets([["severity"], ["category"], ["language"], ["threat"], []], "severity", "category", "language", "threat").agg(F.count("*").alias("n"), F.grouping_id("severity", "category", "language", "threat").alias("g"))
     kind = F.when(F.col("g") == 7, "severity").when(F.col("g") == 11, "category").when(F.col("g") == 13, "language").when(F.col("g") == 14, "threat").otherwise("total")
