@@ -24,7 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from cipherlake.llm.common import components, materialise, parts
+from cipherlake.functions.storage import materialise
+from cipherlake.llm.common import components, parts
 
 SCALES = (1.0, 1.5, 2.25)
 RADIUS, BITS, ANGLES = 7, 128, 32

@@ -24,7 +24,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from cipherlake.llm.common import LOWER, components, materialise, open_blocks, parts, possibly_in, strings
+from cipherlake.functions.storage import materialise
+from cipherlake.llm.common import LOWER, components, open_blocks, parts, possibly_in, strings
 
 ROWS = 4
 #: The chance to miss a pair at the threshold is below this.

@@ -1,5 +1,7 @@
 """DuckDB SQL for those corpus queries that SQL can express."""
 
+from cipherlake.llm.url_reputation import RULES
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP1 = (
@@ -52,6 +54,49 @@ SELECT d.doc_id, CAST(coalesce(k.n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesc
 FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
 """
 
+def _level(name, keys, prior, rows):
+    """Two relations: ``{name}_k``, the prior strength of a level by moments, and ``name``, its posterior means."""
+    return f"""{name}_p AS (SELECT {keys}, sum(n) AS n, sum(bad) AS bad, {prior} AS prior FROM {rows} GROUP BY ALL),
+{name}_m AS (SELECT sum(pow(bad / CAST(n AS DOUBLE) - prior, 2) * n) AS v, sum(prior * (1 - prior) * n) AS s, count(*) AS g, CAST(sum(n) AS DOUBLE) AS p FROM {name}_p WHERE n > 0),
+{name}_k AS (SELECT CASE WHEN g > 1 AND s > 0 THEN least(greatest(1 / least(greatest((v / s - g / p) / greatest(1 - g / p, 1e-9), 1e-4), 0.9) - 1, 1), 1000) ELSE 50 END AS k FROM {name}_m),
+{name} AS (SELECT {name}_p.*, (bad + k * prior) / (n + k) AS mean, n + k AS strength FROM {name}_p, {name}_k)"""
+
+
+_RULES = "CASE " + " ".join(
+    f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN {{{i}}}" for i, (_, h, p) in enumerate(sorted(RULES, key=lambda r: (-len(r[1] + r[2]), r)))
+) + " END"
+_ORDERED = sorted(RULES, key=lambda r: (-len(r[1] + r[2]), r))
+
+OP2 = (
+    r"""
+WITH rest AS (
+  SELECT page_id, CASE WHEN position('://' IN coalesce(url, '')) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS r FROM pages
+), urls AS (
+  SELECT page_id, """
+    + _LOWER.format("regexp_extract(r, '^([^/?#]*)', 1)")
+    + r""" AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest
+), marked AS (
+  SELECT *, TRY_CAST(regexp_extract(path, '/(\d{1,18})(?:[./]|$)', 1) AS BIGINT) AS doc_id FROM urls
+), worst AS (
+  SELECT doc_id, max(CASE WHEN coalesce(quality, 1) = 0 OR coalesce(toxic, 0) = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL) GROUP BY doc_id
+), hosts AS (
+  SELECT host, regexp_extract(host, '([^.]*\.)?[^.]*$') AS domain, regexp_extract(host, '[^.]*$') AS suffix, count(b.bad) AS n, coalesce(sum(b.bad), 0) AS bad
+  FROM marked m LEFT JOIN worst b ON b.doc_id = m.doc_id GROUP BY host
+), overall AS (
+  SELECT CASE WHEN sum(n) > 0 THEN (sum(bad) + 1) / CAST(sum(n) + 2 AS DOUBLE) ELSE 0.5 END AS rate FROM hosts
+), """
+    + _level("sx", "suffix", "(SELECT rate FROM overall)", "hosts")
+    + ", "
+    + _level("dm", "domain, suffix", "(SELECT mean FROM sx WHERE sx.suffix = hosts.suffix)", "hosts")
+    + ", "
+    + _level("hs", "host, domain", "(SELECT mean FROM dm WHERE dm.domain = hosts.domain)", "hosts")
+    + ", bounded AS (SELECT host, mean - 1.645 * sqrt(mean * (1 - mean) / (strength + 1)) AS bound FROM hs) SELECT page_id, u.host, path, "
+    + _RULES.format(*[f"'{h}{p}'" for _, h, p in _ORDERED]).replace("host =", "u.host =").replace("ends_with(host", "ends_with(u.host")
+    + " AS rule, coalesce("
+    + _RULES.format(*[f"'{a}'" for a, _, _ in _ORDERED]).replace("host =", "u.host =").replace("ends_with(host", "ends_with(u.host")
+    + ", CASE WHEN bound > 0.5 THEN 'block' ELSE 'allow' END) AS verdict FROM urls u JOIN bounded b ON b.host = u.host"
+)
+
 OP3 = r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -129,4 +174,4 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(p.n_hit, 0)
 FROM doc_words d LEFT JOIN places p ON p.doc_id = d.doc_id LEFT JOIN items i ON i.doc_id = d.doc_id
 """
 
-ORACLES = {"op1_minhash_near_dedup": OP1, "op3_chat_format": OP3, "op4_source_mixing": OP4, "op6_line_dedup": OP6, "op7_decontaminate": OP7}
+ORACLES = {"op1_minhash_near_dedup": OP1, "op2_url_reputation": OP2, "op3_chat_format": OP3, "op4_source_mixing": OP4, "op6_line_dedup": OP6, "op7_decontaminate": OP7}
