@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from cipherlake.functions.storage import materialise
 
 BUCKETS = 4096
+#: Sources whose plan is broadcast at most, and the salts of the join beyond that.
+BROADCAST_SOURCES, SALTS = 50_000, 32
 WORD = r"[^\x20\x09-\x0D]+"
 #: 2**52: u is the first 13 hex digits of a digest, over this.
 UNIT = 4503599627370496.0
@@ -56,6 +58,19 @@ def targets(docs: DataFrame, weights: tuple[int, ...], cap: float) -> DataFrame:
     return sized.select("source", "source_size", F.round(F.when(capped, F.col("most")).otherwise(F.col("first.level") * F.col("w")), 6).alias("target"))
 
 
+def _join_sources(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """``rows`` with their source's plan (key ``of``); no source's rows meet in one task.
+
+    The plan has one row per source: it is broadcast where it is counted to be
+    small, and repeated over ``SALTS`` salts of the rows where it is not.
+    """
+    if plan.count() <= BROADCAST_SOURCES:
+        return rows.join(F.broadcast(plan), rows["source"].eqNullSafe(plan["of"]))
+    salted = plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("row_salt", F.pmod(F.xxhash64("doc_id", "key"), F.lit(SALTS)).cast("int"))
+    return rows.join(salted, rows["source"].eqNullSafe(salted["of"]) & (rows["row_salt"] == salted["salt"])).drop("salt", "row_salt")
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, quality: Column | None = None, salt: str = "mix") -> DataFrame:
     """One row per row of ``docs (doc_id, text, source)``: doc_id, size, source_size, target, taken.
 
@@ -79,8 +94,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, qua
     sums = sums.withColumn("before", upto)
     edge = sums.join(goal, same(sums, goal)).where(F.col("before") + F.col("words") >= F.col("rest")).groupBy(sums["source"]).agg(F.min(F.struct("bucket", "before")).alias("edge"))
     plan = goal.join(edge, same(goal, edge), "left").select(goal["*"], F.col("edge.bucket").alias("edge_bucket"), F.col("edge.before").alias("edge_before"))
-    plan = plan.withColumnRenamed("source", "of")
-    met = keyed.join(plan, keyed["source"].eqNullSafe(plan["of"]))
+    met = _join_sources(keyed, materialise(plan.withColumnRenamed("source", "of"), "plan"))
     inside = F.col("edge_bucket").isNull() | (F.col("bucket") < F.col("edge_bucket"))
     sorted_ = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = met.withColumn("at_edge", F.coalesce(F.col("bucket") == F.col("edge_bucket"), F.lit(False)))

@@ -160,6 +160,13 @@ def test_mixing(spark):
     assert all(abs(taken[s] - t) <= 60 for s, t in truth.items())
 
 
+def test_mixing_with_many_sources(spark, monkeypatch):
+    rows = spark.read.parquet(f"{SF}/documents.parquet")
+    small = sorted(mixing.mix(rows).collect())
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert sorted(mixing.mix(rows).collect()) == small
+
+
 ALPHABET = st.sampled_from(["\\", "#", "###", "</turn>", "<", "/turn>", "\n", "a", "é", "漢", ": ", "### user: ", "</turn>\n"])
 
 
