@@ -6,8 +6,9 @@ state says whether a target has been named, whether a negation is near and
 whether the clause reports someone; an insult or threat emits its weight, times
 what the state it meets is worth, and waits for a target that may follow. A
 text is judged by its matched clauses. The insults are learned: words, and stems
-of four letters that stand for words not met before, whose presence goes with
-the label by a likelihood-ratio test; the closed classes are word lists. A
+of several lengths that stand for words not met before, whose presence goes with
+the label by a likelihood-ratio test and that a greedy cover of the positive
+texts needs; the closed classes are word lists. A
 logistic model over clause totals, fitted on a bounded sample of labelled rows
 and corrected to the label's rate among all training rows, makes the score.
 """
@@ -26,7 +27,8 @@ from cipherlake.llm.common import held_out, labelled_sample, strings
 
 TOKEN = re.compile(r"[^\W_]+(?:['’]t)?")
 CLAUSE = re.compile(r"[.!?;:,\n]+")
-STEM = 4
+#: Lengths of the stems that stand for all longer words that begin with them.
+STEMS = range(3, 9)
 #: Fixed word lists, by class, in English, German, French and Spanish.
 THREAT = frozenset("kill hurt destroy burn beat murder attack shoot stab strangle toten verletzen umbringen schlagen tuer frapper detruire matar golpear destruir quemar".split())
 TARGET = frozenset("you your yours yourself u they them these those he she people du dich dir euch ihr sie tu te toi vous ils elles usted ustedes ellos ellas".split())
@@ -61,14 +63,25 @@ def clause_weight(symbols: list[tuple[str, float]]) -> tuple[float, int]:
     return total, n
 
 
+def stems_of(word: str) -> list[str]:
+    return [word[:k] for k in STEMS if len(word) > k]
+
+
 class Grammar:
     """Symbols of words, and the clause features of texts."""
 
     def __init__(self, words: dict[str, float], stems: dict[str, float]):
         self.words, self.stems = words, stems
 
+        self.heads = {s[: STEMS[0]] for s in stems}
+
     def insult(self, word: str) -> float:
-        return self.words.get(word) or (self.stems.get(word[:STEM], 0.0) if len(word) > STEM else 0.0)
+        """The weight of a word, else of its heaviest stem, else 0."""
+        if word in self.words:
+            return self.words[word]
+        if word[: STEMS[0]] not in self.heads:
+            return 0.0
+        return max((self.stems.get(s, 0.0) for s in stems_of(word)), default=0.0)
 
     def symbols(self, tokens: list[str]) -> list[tuple[str, float]]:
         out = []
@@ -94,11 +107,11 @@ class Grammar:
         total = top = 0.0
         clauses = n = n_words = 0
         found: set[str] = set()
-        words, stems = self.words, self.stems
+        words, heads, first = self.words, self.heads, STEMS[0]
         for clause in CLAUSE.split(text.lower()):
             tokens = TOKEN.findall(clause)
             n_words += len(tokens)
-            hits = [w for w in tokens if w in words or w[:STEM] in stems]
+            hits = [w for w in tokens if w in words or w[:first] in heads and self.insult(w)]
             if not hits and THREAT.isdisjoint(tokens):
                 continue
             weight, k = clause_weight(self.symbols(tokens))
@@ -116,7 +129,7 @@ def _term_counts(sample: DataFrame) -> DataFrame:
         for batch in batches:
             for text, label in zip(strings(batch.column(0)), strings(batch.column(1))):
                 words = set(TOKEN.findall((text or "").lower()))
-                words |= {"^" + w[:STEM] for w in words if len(w) > STEM}
+                words |= {"^" + s for w in words for s in stems_of(w)}
                 n.update(words)
                 if label:
                     pos.update(words)
@@ -125,19 +138,85 @@ def _term_counts(sample: DataFrame) -> DataFrame:
     return sample.select("text", "label").mapInArrow(run, "term string, pos long, n long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
 
 
-def learn_grammar(sample: DataFrame, n_pos: int, n_neg: int, most_terms: int, least: float = 16.0) -> Grammar:
-    """Insults: terms more frequent among positives with a likelihood ratio (G2) of ``least`` or more."""
+def _g2(pos, neg, n_pos: int, n_neg: int):
+    """Likelihood ratio of a term's presence against independence of the label."""
+    share = (pos + neg) / (n_pos + n_neg)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        a = np.where(pos > 0, pos * np.log(pos / (n_pos * share)), 0.0)
+        b = np.where(neg > 0, neg * np.log(neg / (n_neg * share)), 0.0)
+    return 2 * (a + b)
+
+
+def cover(terms: list[str], neg: np.ndarray, texts: list[list[str]], n_pos: int, n_neg: int, least: float, enough: int = 3) -> list[int]:
+    """Terms, as places in ``terms``, chosen one by one for the positives that need them.
+
+    A text is covered when ``enough`` of its words are matched. Each step takes
+    the term with the largest likelihood ratio over texts not yet covered, until
+    none has ``least``. A word that only goes along with insults, as all words
+    of much copied texts do, finds its texts covered and is never chosen.
+    """
+    place = {t: k for k, t in enumerate(terms)}
+    of: list[dict[int, set[str]]] = []
+    where: dict[int, list[int]] = {}
+    for d, words in enumerate(texts):
+        mine: dict[int, set[str]] = {}
+        for w in words:
+            for t in (w, *("^" + s for s in stems_of(w))):
+                if t in place:
+                    mine.setdefault(place[t], set()).add(w)
+        of.append(mine)
+        for k in mine:
+            where.setdefault(k, []).append(d)
+    left = np.array([len(where.get(k, ())) for k in range(len(terms))], float)
+    matched: list[set[str]] = [set() for _ in texts]
+    done, chosen = [False] * len(texts), []
+    while len(terms):
+        gain = np.where((left >= 2) & (left / max(n_pos, 1) > neg / max(n_neg, 1)), _g2(left, neg, n_pos, n_neg), -1.0)
+        best = int(gain.argmax())
+        if gain[best] < least:
+            break
+        chosen.append(best)
+        for d in where[best]:
+            if done[d] or best not in of[d]:
+                continue
+            matched[d] |= of[d][best]
+            done[d] = len(matched[d]) >= enough
+            for k in [k for k, words in of[d].items() if done[d] or words <= matched[d]]:  # nothing more to gain there
+                left[k] -= 1
+                del of[d][k]
+    return chosen
+
+
+def learn_grammar(sample: DataFrame, n_pos: int, n_neg: int, most_terms: int, least: float = 10.0) -> Grammar:
+    """Insults: words and stems that mark positives, and that some positives need to be told by.
+
+    Candidates have a likelihood ratio of ``least`` or more over the sample and
+    are ``most_terms`` at most; ``cover`` picks among them.
+    """
     a, b = F.col("pos").cast("double"), (F.col("n") - F.col("pos")).cast("double")
     share = (a + b) / F.lit(float(n_pos + n_neg))
     part = lambda k, of: F.when(k > 0, k * F.ln(k / (F.lit(float(of)) * share))).otherwise(0.0)
     counts = _term_counts(sample).where(F.col("pos") >= 2).withColumn("g2", 2 * (part(a, n_pos) + part(b, n_neg)))
     counts = counts.withColumn("w", F.ln((a + 0.5) / (n_pos + 1.0)) - F.ln((b + 0.5) / (n_neg + 1.0))).where((F.col("g2") >= least) & (F.col("w") >= 2.0))
-    rows = counts.orderBy(F.desc("g2"), "term").limit(most_terms).collect()
-    words, stems = {r["term"]: r["w"] for r in rows if r["term"][0] != "^"}, {r["term"][1:]: r["w"] for r in rows if r["term"][0] == "^"}
+    # of equals a word comes before a stem, and the longer stem first
+    rows = counts.orderBy(F.desc("g2"), F.col("term").startswith("^"), F.desc(F.length("term")), "term").limit(most_terms).collect()
+    known = sample.sparkSession.sparkContext.broadcast({r["term"] for r in rows})
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for text in strings(batch.column(0)):
+                words = set(TOKEN.findall((text or "").lower()))
+                found.append(sorted(w for w in words if w in known.value or any("^" + s in known.value for s in stems_of(w))))
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string()))], ["words"])
+
+    texts = sorted(r["words"] for r in sample.where("label = 1").select("text").mapInArrow(run, "words array<string>").collect())
+    chosen = [rows[k] for k in cover([r["term"] for r in rows], np.array([float(r["n"] - r["pos"]) for r in rows]), texts, n_pos, n_neg, least)]
+    words, stems = {r["term"]: r["w"] for r in chosen if r["term"][0] != "^"}, {r["term"][1:]: r["w"] for r in chosen if r["term"][0] == "^"}
     return Grammar(words, stems)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, rate: float, rounds: int = 40, ridge: float = 1e-2) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, rate: float, rounds: int = 40, ridge: float = 1e-3) -> np.ndarray:
     """Weights, the intercept last, by Newton steps; moved from the sample's rate of positives to ``rate``."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
@@ -152,7 +231,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, rate: float, rounds: int = 40, ri
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, most_terms: int = 20_000):
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, most_terms: int = 5_000):
     """(grammar, weights) from at most ``per_class`` training rows of each label; None without both labels."""
     spark = docs.sparkSession
     sample = labelled_sample(spark, docs, labels, "toxic", per_class).persist()
