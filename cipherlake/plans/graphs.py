@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from cipherlake.models import graphs as G, hmm as H, montecarlo as M
@@ -73,7 +74,26 @@ def decoded(s, d):
     return H.decode(H.sequences(calls_of_users(s, d), "user_id", "ts", "id"))
 
 
+def _forward(name, model):
+    """A recursion over positions: log probabilities of the three states, by log-sum-exp."""
+    start, moves, emission = H.parameters(model)
+    lit = lambda v: f"CAST({float(v)!r} AS DOUBLE)"
+    e = f"{name}_e AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, {', '.join(lit(np.log(emission[i, k])) for i in range(3))})" for k in range(H.SYMBOLS)) + ") AS v(symbol, e0, e1, e2))"
+    sums = [[f"w.l{i} + {lit(np.log(moves[i, j]))}" for i in range(3)] for j in range(3)]
+    step = ", ".join(f"greatest({', '.join(c)}) + ln({' + '.join(f'exp({x} - greatest({chr(44).join(c)}))' for x in c)}) + e{j}" for j, c in enumerate(sums))
+    first = ", ".join(f"{lit(np.log(start[i]))} + e{i}" for i in range(3))
+    return f"""{e}, {name}(key, n, l0, l1, l2) AS (SELECT key, n, {first} FROM sq JOIN {name}_e USING (symbol) WHERE n = 1
+  UNION ALL SELECT w.key, sq.n, {step} FROM {name} w JOIN sq ON sq.key = w.key AND sq.n = w.n + 1 JOIN {name}_e USING (symbol)),
+{name}_t AS (SELECT key, arg_max(greatest(l0, l1, l2) + ln(exp(l0 - greatest(l0, l1, l2)) + exp(l1 - greatest(l0, l1, l2)) + exp(l2 - greatest(l0, l1, l2))), n) AS total, max(n) AS n FROM {name} GROUP BY key)"""
+
+
+_SEQUENCES = f"sq AS (SELECT user_id AS key, CAST(floor(value) AS INT) % {H.SYMBOLS} AS symbol, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)"
+
 QUERIES = {
+    "q_hmm_llr": (
+        lambda s, d: decoded(s, d).groupBy("key").agg(F.count("*").alias("n"), F.round(F.max("llr"), 6).alias("llr")),
+        f"WITH RECURSIVE {_SEQUENCES}, {_forward('fi', H.INSECURE_MODEL)}, {_forward('fs', H.SECURE_MODEL)} SELECT key, fi_t.n AS n, round(fi_t.total - fs_t.total, 6) AS llr FROM fi_t JOIN fs_t USING (key)",
+    ),
     "q_mc_hours": (
         lambda s, d: _r(M.draws(items(s, d), N).groupBy("item").agg(F.avg("hours").alias("mean_hours"), F.avg("wait_days").alias("mean_wait")), "mean_hours", "mean_wait"),
         f"{_MC} SELECT item, round(avg(hours), 6) AS mean_hours, round(avg(wait_days), 6) AS mean_wait FROM dr GROUP BY item",
