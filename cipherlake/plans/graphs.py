@@ -87,6 +87,23 @@ def _forward(name, model):
 {name}_t AS (SELECT key, arg_max(greatest(l0, l1, l2) + ln(exp(l0 - greatest(l0, l1, l2)) + exp(l1 - greatest(l0, l1, l2)) + exp(l2 - greatest(l0, l1, l2))), n) AS total, max(n) AS n FROM {name} GROUP BY key)"""
 
 
+def _viterbi(model):
+    """The likeliest path as a string of states; each step keeps the best way into each state, the first of equals."""
+    start, moves, emission = H.parameters(model)
+    lit = lambda v: f"CAST({float(v)!r} AS DOUBLE)"
+    e = "ve AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, {', '.join(lit(np.log(emission[i, k])) for i in range(3))})" for k in range(H.SYMBOLS)) + ") AS v(symbol, e0, e1, e2))"
+    ways = [[f"w.l{i} + {lit(np.log(moves[i, j]))}" for i in range(3)] for j in range(3)]
+    most = [f"greatest({', '.join(c)})" for c in ways]
+    logs = ", ".join(f"{m} + e{j}" for j, m in enumerate(most))
+    paths = ", ".join(f"CASE WHEN {c[0]} = {m} THEN p0 WHEN {c[1]} = {m} THEN p1 ELSE p2 END || '{j}'" for j, (c, m) in enumerate(zip(ways, most)))
+    first = ", ".join(f"{lit(np.log(start[i]))} + e{i}" for i in range(3))
+    return f"""{e}, vi(key, n, l0, l1, l2, p0, p1, p2) AS (SELECT key, n, {first}, '0', '1', '2' FROM sq JOIN ve USING (symbol) WHERE n = 1
+  UNION ALL SELECT w.key, sq.n, {logs}, {paths} FROM vi w JOIN sq ON sq.key = w.key AND sq.n = w.n + 1 JOIN ve USING (symbol)),
+vp AS (SELECT key, arg_max(CASE WHEN l0 = greatest(l0, l1, l2) THEN p0 WHEN l1 = greatest(l0, l1, l2) THEN p1 ELSE p2 END, n) AS path FROM vi GROUP BY key),
+vs AS (SELECT sq.key, CAST(n - 1 AS INT) AS position, symbol, CAST(substr(path, n, 1) AS INT) AS state FROM sq JOIN vp ON vp.key = sq.key),
+vr AS (SELECT key, min(position) AS start, max(position) + 1 AS "end", list(DISTINCT symbol) AS symbols FROM (SELECT *, position - row_number() OVER (PARTITION BY key ORDER BY position) AS island FROM vs WHERE state = 1) GROUP BY key, island)"""
+
+
 _SEQUENCES = f"sq AS (SELECT user_id AS key, CAST(floor(value) AS INT) % {H.SYMBOLS} AS symbol, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)"
 
 QUERIES = {
@@ -134,7 +151,12 @@ QUERIES = {
         lambda s, d: H.api_calls(lines_of(s, ".go")),
         f"WITH {lines_cte('.go')}, c AS (SELECT * FROM (VALUES {', '.join(f'({i}, {_t(p)})' for i, p in enumerate(H.CALLS))}) AS v(symbol, pattern)), m AS (SELECT path, line_no, symbol, regexp_extract_all(line, pattern) AS ms FROM l, c) SELECT path, line_no, symbol, CAST(generate_subscripts(ms, 1) - 1 AS INT) AS nth, unnest(ms) AS name FROM m",
     ),
-    "q_hmm_viterbi": (lambda s, d: decoded(s, d).groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("state") == H.INSECURE).alias("insecure"), F.round(F.max("llr"), 6).alias("llr")), None),
-    "q_hmm_runs": (lambda s, d: H.runs(decoded(s, d)).select("key", "start", "end"), None),
-    "q_hmm_patterns": (lambda s, d: H.patterns(decoded(s, d), threshold=0.0).groupBy("rule_id", "algorithm").agg(F.count("*").alias("n")), None),
+    "q_hmm_viterbi": (lambda s, d: decoded(s, d).groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("state") == H.INSECURE).alias("insecure"), F.round(F.max("llr"), 6).alias("llr")), f"WITH RECURSIVE {_SEQUENCES}, {_viterbi(H.INSECURE_MODEL)}, {_forward('fi', H.INSECURE_MODEL)}, {_forward('fs', H.SECURE_MODEL)} SELECT key, fi_t.n AS n, length(path) - length(replace(path, '1', '')) AS insecure, round(fi_t.total - fs_t.total, 6) AS llr FROM fi_t JOIN fs_t USING (key) JOIN vp USING (key)"),
+    "q_hmm_runs": (lambda s, d: H.runs(decoded(s, d)).select("key", "start", "end"), f'WITH RECURSIVE {_SEQUENCES}, {_viterbi(H.INSECURE_MODEL)} SELECT key, start, "end" FROM vr'),
+    "q_hmm_patterns": (lambda s, d: H.patterns(decoded(s, d), threshold=0.0).groupBy("rule_id", "algorithm").agg(F.count("*").alias("n")), f"""WITH RECURSIVE {_SEQUENCES}, {_viterbi(H.INSECURE_MODEL)}, {_forward('fi', H.INSECURE_MODEL)}, {_forward('fs', H.SECURE_MODEL)},
+ok AS (SELECT fi_t.key FROM fi_t JOIN fs_t USING (key) WHERE fi_t.total - fs_t.total >= 0),
+cl AS (SELECT key, CASE WHEN list_contains(symbols, 9) AND list_has_any(symbols, [11, 12]) AND NOT list_contains(symbols, 10) THEN 'HMM-003' WHEN list_has_any(symbols, [0, 1, 2, 3]) AND NOT list_contains(symbols, 18) THEN 'HMM-002'
+  WHEN list_has_any(symbols, [4, 5, 6, 7, 8]) AND NOT list_contains(symbols, 18) THEN 'HMM-004' WHEN list_contains(symbols, 17) AND list_contains(symbols, 14) AND NOT list_contains(symbols, 16) THEN 'HMM-005' END AS rule_id, list_has_any(symbols, [7, 8]) AS ecdh FROM vr JOIN ok USING (key)),
+al AS (SELECT key, rule_id, CASE rule_id WHEN 'HMM-003' THEN 'AES-CFB/CBC' WHEN 'HMM-002' THEN 'RSA' WHEN 'HMM-004' THEN CASE WHEN ecdh THEN 'ECDH' ELSE 'ECDSA' END ELSE 'HMAC-SHA256' END AS algorithm FROM cl WHERE rule_id IS NOT NULL
+  UNION ALL SELECT key, 'HMM-001', 'mixed' FROM ok WHERE key NOT IN (SELECT key FROM cl WHERE rule_id IS NOT NULL)) SELECT rule_id, algorithm, count(*) AS n FROM al GROUP BY 1, 2"""),
 }
