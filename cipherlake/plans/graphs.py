@@ -23,10 +23,18 @@ def items(s, d):
 _ITEMS = f"it AS (SELECT *, rule_id || '/' || category || '/' || severity AS item FROM (SELECT *, row_number() OVER (PARTITION BY rule_id, category, severity ORDER BY confidence DESC, file_path, line_start, {', '.join(TIES)}) AS k FROM f) WHERE k = 1)"
 _U = lambda tail: f"((CAST(('0x' || substr(md5('42:' || sim || ':' || item || ':{tail}'), 1, 13)) AS BIGINT) + CAST(0.5 AS DOUBLE)) / CAST(4503599627370496 AS DOUBLE))"
 _Z = f"sqrt(-2 * ln({_U('a')})) * cos(2 * pi() * {_U('b')})"
-_DRAWS = f"""dr AS (SELECT sim, item, CASE WHEN in_dependency OR auto_fix THEN exp(CAST(0.5 AS DOUBLE) + CAST(0.3 AS DOUBLE) * z) ELSE exp(4 + 2 * z) END AS hours, CASE WHEN in_dependency THEN -30 * ln({_U('e')}) ELSE 0 END AS wait_days
+
+
+def _draws(tag="", auto=0.5, manual=4.0, days=30.0):
+    """CTEs of one scenario: draws, sums by simulation, weeks and cost."""
+    d = lambda v: f"CAST({v!r} AS DOUBLE)"
+    return f"""dr{tag} AS (SELECT sim, item, in_dependency OR auto_fix AS quick, CASE WHEN in_dependency OR auto_fix THEN exp({d(auto)} + CAST(0.3 AS DOUBLE) * z) ELSE exp({d(manual)} + 2 * z) END AS hours, CASE WHEN in_dependency THEN -{d(days)} * ln({_U('e')}) ELSE 0 END AS wait_days
   FROM (SELECT *, {_Z} AS z FROM it, range({N}) AS r(sim))),
-su AS (SELECT sim, sum(hours) AS hours, max(wait_days) AS wait, count(*) AS items FROM dr GROUP BY sim),
-si AS (SELECT sim, hours, greatest(hours / greatest(1, ceil(items / 10.0)), wait * 8) / 40 AS weeks, hours * 150 AS cost FROM su)"""
+su{tag} AS (SELECT sim, sum(hours) AS hours, max(wait_days) AS wait, count(*) AS items FROM dr{tag} GROUP BY sim),
+si{tag} AS (SELECT sim, hours, greatest(hours / greatest(1, ceil(items / 10.0)), wait * 8) / 40 AS weeks, hours * 150 AS cost FROM su{tag})"""
+
+
+_DRAWS = _draws()
 _MC = f"WITH {F_CTE}, {_ITEMS}, {_DRAWS}"
 
 
@@ -127,7 +135,12 @@ QUERIES = {
         lambda s, d: _r(M.variance_ranking(M.draws(items(s, d), N)), "mean_hours", "sd_hours", "share"),
         f"{_MC}, p AS (SELECT item, avg(hours) AS m, var_pop(hours) AS v FROM dr GROUP BY item) SELECT item, round(m, 6) AS mean_hours, round(sqrt(v), 6) AS sd_hours, round(v / sum(v) OVER (), 6) AS share FROM p",
     ),
-    "q_mc_sensitivity": (lambda s, d: _r(M.sensitivity(items(s, d), N), "low", "high", "base", "index"), None),
+    "q_mc_sensitivity": (
+        lambda s, d: _r(M.sensitivity(items(s, d), N), "low", "high", "base", "index"),
+        f"{_MC}, {_draws('a', auto=0.5 * 0.8)}, {_draws('b', auto=0.5 * 1.2)}, {_draws('c', manual=4.0 * 0.8)}, {_draws('d', manual=4.0 * 1.2)}, {_draws('e', days=30.0 * 0.8)}, {_draws('g', days=30.0 * 1.2)}, m AS (SELECT (SELECT avg(weeks) FROM si) AS base, "
+        + ", ".join(f"(SELECT avg(weeks) FROM si{t}) AS {t}" for t in "abcdeg")
+        + "), r AS (SELECT 'auto_mu' AS parameter, a AS low, b AS high, base FROM m UNION ALL SELECT 'manual_mu', c, d, base FROM m UNION ALL SELECT 'dependency_days', e, g, base FROM m UNION ALL SELECT 'regression', base, base, base FROM m) SELECT parameter, round(low, 6) AS low, round(high, 6) AS high, round(base, 6) AS base, round(abs(high - low) / base, 6) AS index FROM r",
+    ),
     "q_laplacian": (lambda s, d: G.laplacian(*trade(s, d)), f"WITH {_TRADE} SELECT i, j, value FROM la"),
     "q_degree": (lambda s, d: G.degrees(G.laplacian(*trade(s, d))), f"WITH {_TRADE} SELECT i AS node, value AS degree FROM la WHERE i = j"),
     "q_phases": (lambda s, d: (lambda e, w: G.phase_order(G.spectral_phases(G.laplacian(e, w)), w))(*trade(s, d)), None),

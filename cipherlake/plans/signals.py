@@ -72,7 +72,18 @@ QUERIES = {
         lambda s, d: _r(S.peaks(_r(S.spectra(daily(s, d)), "power", digits=4), 1.0), "power", digits=4),
         f"WITH {_DAY}, {_PSD}, o AS (SELECT key, k, round(power, 4) AS power FROM p), l AS (SELECT *, lag(power) OVER (PARTITION BY key ORDER BY k) AS a, lead(power) OVER (PARTITION BY key ORDER BY k) AS b FROM o) SELECT key, k, power FROM l WHERE power > a AND power > b AND power > 1",
     ),
-    "q_traffic_fingerprint": (lambda s, d: _r(S.fingerprints(handshakes(s, d)), "centroid", "spread", "flatness", "mean_ms", "sd_ms", "similarity").select("key", "n", "centroid", "spread", "flatness", "rolloff", "mean_ms", "sd_ms", "name", "similarity", "quantum_threat"), None),
+    "q_traffic_fingerprint": (
+        lambda s, d: _r(S.fingerprints(handshakes(s, d)), "centroid", "spread", "flatness", "mean_ms", "sd_ms", "similarity").select("key", "n", "centroid", "spread", "flatness", "rolloff", "mean_ms", "sd_ms", "name", "similarity", "quantum_threat"),
+        f"""WITH q AS (SELECT user_id AS key, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+z AS (SELECT key, i, n, CAST(pow(2, ceil(log2(n))) AS BIGINT) AS m, v * 0.5 * (1 - cos(2 * pi() * i / (n - 1))) AS v FROM q WHERE n >= 30), {_PSD}, {_FEAT},
+b AS (SELECT key, max(centroid) AS centroid, sqrt(sum(pow(k - centroid, 2) * power) / sum(power)) AS spread, max(flatness) AS flatness, min(k) FILTER (WHERE upto >= 0.85 * total) AS rolloff FROM u GROUP BY key),
+h AS (SELECT user_id AS key, count(*) AS n, avg(value / 10) AS mean_ms, stddev_pop(value / 10) AS sd_ms FROM events GROUP BY 1),
+g AS (SELECT b.*, h.n, mean_ms, sd_ms, [centroid, spread, flatness, CAST(rolloff AS DOUBLE), mean_ms, sd_ms] AS vec FROM b JOIN h USING (key)),
+r AS (SELECT * FROM (VALUES {', '.join(f"('{r[0]}', [{', '.join(f'CAST({x!r} AS DOUBLE)' for x in r[1:])}])" for r in S.REFERENCES)}) AS v(name, ref)),
+c AS (SELECT key, max((list_inner_product(vec, ref) / (sqrt(list_inner_product(vec, vec)) * sqrt(list_inner_product(ref, ref))), name)) AS best FROM g, r GROUP BY key),
+o AS (SELECT g.*, CASE WHEN best[1] < 0.75 THEN 'UNKNOWN' ELSE best[2] END AS name, best[1] AS similarity FROM g JOIN c USING (key))
+SELECT key, n, round(centroid, 6) AS centroid, round(spread, 6) AS spread, round(flatness, 6) AS flatness, rolloff, round(mean_ms, 6) AS mean_ms, round(sd_ms, 6) AS sd_ms, name, round(similarity, 6) AS similarity, CASE WHEN contains(name, 'ML-KEM') OR NOT (contains(name, 'RSA') OR contains(name, 'ECDHE') OR contains(name, 'DH')) THEN 2 ELSE 0 END AS quantum_threat FROM o""",
+    ),
     "q_cosine_classify": (
         lambda s, d: (lambda e: _r(S.classify(e.select(F.col("vec_id").alias("key"), F.col("embedding").cast("array<double>").alias("vector")), e.where("vec_id < 8").select(F.col("vec_id").cast("string").alias("name"), F.col("embedding").cast("array<double>").alias("ref")), 0.75), "similarity"))(table(s, d, "embeddings")),
         "WITH e AS (SELECT vec_id AS key, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), m AS (SELECT a.key, CAST(b.key AS VARCHAR) AS name, list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))) AS similarity FROM e a, e b WHERE b.key < 8), o AS (SELECT key, max((similarity, name)) AS best FROM m GROUP BY key) SELECT key, CASE WHEN best[1] < 0.75 THEN 'UNKNOWN' ELSE best[2] END AS name, round(best[1], 6) AS similarity FROM o",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cipherlake.functions.labels import basename, extension, repository_path
 from cipherlake.models import analysis as N
 from cipherlake.operators import compliance as C
-from cipherlake.plans.graphs import items
+from cipherlake.plans.graphs import _MC, items
 from cipherlake.sources import certificates as X, sinks as K
 from cipherlake.sources.bridge import F_CTE, findings
 from cipherlake.sources.files import language_of
@@ -35,6 +35,9 @@ QUERIES = {
     ),
     "q_cert_parse": (lambda s, d: X.certificates(s.createDataFrame([(p, bytearray(t.encode())) for p, t in PEM.items()], "path string, content binary")), None),
     "q_cert_findings": (lambda s, d: X.certificate_findings(X.certificates(s.createDataFrame([(p, bytearray(t.encode())) for p, t in PEM.items()], "path string, content binary"))), None),
-    "q_calibration": (lambda s, d: N.calibrate(findings(s, d), items(s, d)), None),
+    "q_calibration": (
+        lambda s, d: N.calibrate(findings(s, d), items(s, d)).withColumn("error", F.round("error", 6)),
+        f"{_MC} SELECT 'markov' AS model, round(1 - least(1 - exp(-(count(DISTINCT scan_id) - 1) / CAST(10 AS DOUBLE)), 0.99), 6) AS error FROM f UNION ALL SELECT 'simulation', round(abs(s - e) / e, 6) FROM (SELECT avg(hours) AS s FROM si), (SELECT sum(CASE WHEN in_dependency OR auto_fix THEN exp(CAST(0.545 AS DOUBLE)) ELSE exp(CAST(6 AS DOUBLE)) END) AS e FROM it)",
+    ),
     "q_analyze": (lambda s, d: N.overview(findings(s, d), items(s, d)), None),
 }
