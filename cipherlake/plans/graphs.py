@@ -73,6 +73,14 @@ _EMB = f"em AS (SELECT item AS id, list_concat([1 - severity / CAST(3 AS DOUBLE)
 _DIST = "di AS (SELECT a.id AS i, b.id AS j, sqrt(list_sum([(a.vector[n] - b.vector[n]) * (a.vector[n] - b.vector[n]) for n in range(1, 18)])) AS distance FROM em a JOIN em b ON a.id < b.id)"
 
 
+# Prim's algorithm: each step adds the nearest item that is not yet in.
+_PRIM = f"""WITH RECURSIVE {F_CTE}, {_ITEMS}, {_EMB}, {_DIST}, dd AS (SELECT i AS a, j AS b, distance FROM di UNION ALL SELECT j, i, distance FROM di),
+pr(step, seen, death) AS (SELECT 0, [min(id)], CAST(NULL AS DOUBLE) FROM em
+  UNION ALL SELECT step + 1, list_append(seen, arg_min(b, (distance, b))), min(distance) FROM pr, dd WHERE list_contains(seen, a) AND NOT list_contains(seen, b) GROUP BY step, seen),
+de AS (SELECT death FROM pr WHERE death IS NOT NULL)"""
+_NEAR = f"""{_PRIM}, li AS (SELECT a, b FROM dd WHERE distance <= 0.3 * (SELECT max(death) FROM de)), rc(id, other) AS (SELECT id, id FROM em UNION SELECT rc.id, b FROM rc JOIN li ON other = a), lo AS (SELECT id, min(other) AS cluster FROM rc GROUP BY id)"""
+
+
 def calls_of_users(s, d):
     e = table(s, d, "events")
     return e.select("user_id", "ts", F.col("event_id").alias("id"), F.pmod(F.col("value").cast("int"), F.lit(H.SYMBOLS)).alias("symbol"))
@@ -157,9 +165,9 @@ QUERIES = {
         f"WITH {F_CTE}, {_ITEMS}, {_EMB} SELECT id, CAST(n - 1 AS INT) AS dim, round(vector[n], 9) AS value FROM em, range(1, 18) AS r(n)",
     ),
     "q_tda_distances": (lambda s, d: _r(G.distances(embedded(s, d)), "distance", digits=9), f"WITH {F_CTE}, {_ITEMS}, {_EMB}, {_DIST} SELECT i, j, round(distance, 9) AS distance FROM di"),
-    "q_tda_pairs": (lambda s, d: _r(G.persistence(G.distances(embedded(s, d))), "death", digits=9).groupBy("death").agg(F.count("*").alias("n")), None),
-    "q_tda_clusters": (lambda s, d: (lambda e: G.clusters(e, G.persistence(G.distances(e))).groupBy("cluster").agg(F.count("*").alias("n")))(embedded(s, d)), None),
-    "q_tda_entropy": (lambda s, d: _r(G.persistence_entropy(G.persistence(G.distances(embedded(s, d)))), "entropy"), None),
+    "q_tda_pairs": (lambda s, d: _r(G.persistence(G.distances(embedded(s, d))), "death", digits=9).groupBy("death").agg(F.count("*").alias("n")), f"{_PRIM} SELECT round(death, 9) AS death, count(*) AS n FROM de GROUP BY 1"),
+    "q_tda_clusters": (lambda s, d: (lambda e: G.clusters(e, G.persistence(G.distances(e))).groupBy("cluster").agg(F.count("*").alias("n")))(embedded(s, d)), f"{_NEAR} SELECT cluster, count(*) AS n FROM lo GROUP BY 1"),
+    "q_tda_entropy": (lambda s, d: _r(G.persistence_entropy(G.persistence(G.distances(embedded(s, d)))), "entropy"), f"{_PRIM} SELECT round(-sum(death / t * ln(death / t)), 6) AS entropy FROM de, (SELECT sum(death) AS t FROM de) WHERE death > 0"),
     "q_hmm_calls": (
         lambda s, d: H.api_calls(lines_of(s, ".go")),
         f"WITH {lines_cte('.go')}, c AS (SELECT * FROM (VALUES {', '.join(f'({i}, {_t(p)})' for i, p in enumerate(H.CALLS))}) AS v(symbol, pattern)), m AS (SELECT path, line_no, symbol, regexp_extract_all(line, pattern) AS ms FROM l, c) SELECT path, line_no, symbol, CAST(generate_subscripts(ms, 1) - 1 AS INT) AS nth, unnest(ms) AS name FROM m",
