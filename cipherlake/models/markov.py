@@ -129,7 +129,8 @@ def hndl_years(parameters: DataFrame) -> DataFrame:
         )))
 
     years = parameters.withColumn("y", F.aggregate(F.sequence(F.col("start") + 1, F.col("end")), zero, step))
-    return years.select("id", F.explode("y").alias("y")).select("id", "y.*")
+    # explode would infer a filter on the fold's size and push it below the parameters' aggregation, to every finding
+    return years.select("id", F.explode_outer("y").alias("y")).select("id", "y.*")
 
 
 def hndl_summary(years: DataFrame) -> DataFrame:

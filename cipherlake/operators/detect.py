@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from cipherlake.functions.fixed_rules import JAVA_RULES, JS_RULES, KUBERNETES_RULES, TERRAFORM_RULES, TEXT_RULES
@@ -40,15 +42,61 @@ def text_rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "rule_id string, algorithm string, severity int, quantum_threat int, category int, replacement_algo string, migration_effort string, language string, description string, regex string")
 
 
+def needed_literal(regex: str) -> str:
+    """The longest text that every match of ``regex`` contains; empty if there is none that is plain to see."""
+    best = run = ""
+    i, depth = 0, 0
+    while i < len(regex):
+        c, n = regex[i], 1
+        if c == "\\":
+            n, c = 2, regex[i + 1] if not regex[i + 1].isalnum() else ""
+        elif c == "[":
+            n, c = regex.index("]", i + 2) - i + 1, ""
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+            c = ""
+        elif c in "|":
+            if not depth:
+                return ""
+            c = ""
+        elif c in ".^$+":
+            c = ""
+        elif c in "*?{":
+            n = regex.index("}", i) - i + 1 if c == "{" else 1
+            run, c = run[:-1], ""
+        if c and not depth:
+            run += c
+        else:
+            best, run = max(best, run, key=len), ""
+        i += n
+    return max(best, run, key=len)
+
+
+_RULE_COLUMNS = ("rule_id", "algorithm", "severity", "quantum_threat", "category", "replacement_algo", "migration_effort", "description")
+
+
 def match_text_rules(source: DataFrame) -> DataFrame:
     """Findings of the text rules: each (rule, language) group fires once a line. [B2, B3, C1]
 
-    The 35 rule groups are broadcast and joined on language; the expression is a
-    residual condition of the hash join, so lines are never shuffled.
+    The expressions are literals, compiled once; a line meets those of its
+    language only. (Joined as a column, an expression would be compiled anew for
+    every line and rule.) Matches then meet the 35 broadcast rule groups.
     """
-    rules = F.broadcast(text_rules(source.sparkSession))
+    groups = [r.asDict() for r in text_rules(source.sparkSession).collect()]
+    rules = F.broadcast(source.sparkSession.createDataFrame([(i, *[g[c] for c in _RULE_COLUMNS]) for i, g in enumerate(groups)], "rule int, rule_id string, algorithm string, severity int, quantum_threat int, category int, replacement_algo string, migration_effort string, description string"))
+    texts = {(rule[0], g[0]): [needed_literal(p) for p in g[2]] for rule in TEXT_RULES for g in rule[7]}
+    line, hits = F.col("line"), F.lit(None).cast("array<int>")
+    for language in sorted({g["language"] for g in groups}):
+        fired = []
+        for i, g in enumerate(groups):
+            if g["language"] == language:
+                # a text that a match must contain is looked for first: it costs far less than the expression
+                needed = texts[g["rule_id"], language]
+                maybe = reduce(lambda a, b: a | b, [F.contains(line, F.lit(t)) for t in needed]) if all(needed) else F.lit(True)
+                fired.append(F.when(maybe & line.rlike(g["regex"]), F.lit(i)))
+        hits = F.when(F.col("language") == language, F.array_compact(F.array(*fired))).otherwise(hits)
     own = source.where(~is_noise(F.col("line"), F.col("language")))
-    met = own.join(rules, "language").where(F.rlike("line", F.col("regex"))).drop("regex")
+    met = own.select("path", "line_no", "language", "line", F.explode_outer(hits).alias("rule")).where("rule is not null").join(rules, "rule")
     known = F.broadcast(migrations(source.sparkSession).select("algorithm", "replacement", "effort"))
     met = met.join(known, "algorithm", "left")
     return met.select("path", "line_no", "language", "rule_id", "severity", "quantum_threat", "category", "algorithm", "description", F.coalesce("replacement", "replacement_algo").alias("replacement_algo"), F.coalesce("effort", "migration_effort").alias("migration_effort"), trimmed(F.col("line")).alias("code_snippet"), F.lit(0.85).alias("confidence"))

@@ -154,6 +154,11 @@ def test_monitor_restarts(spark, tmp_path):
     m.step(m.outbox().limit(0).selectExpr("'x' AS rule_id", "'y' AS file_path", "1 AS line_start"), 2)
 
 
+@pytest.mark.parametrize("regex,text", [("ab", "ab"), (r"a\.b\(", "a.b("), ("abc?d", "ab"), ("x*yz", "yz"), ("ab{2}cd", "cd"), ("(?:ab|cd)e", "e"), ("ab|cd", ""), (r"\bab\b", "ab"), ("[xy]ab.*c", "ab")])
+def test_needed_literal(regex, text):
+    assert detect.needed_literal(regex) == text
+
+
 def test_rule_join_is_broadcast(spark):
     plan = detect.match_text_rules(detect.lines(samples.files(spark)))._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "RLIKE" in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
