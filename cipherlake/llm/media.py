@@ -3,15 +3,15 @@
 Corners (Harris response, several scales) get an orientation from the intensity
 centroid of their surroundings and 128 binary tests turned by it. Six tables
 hold two of each descriptor's four words: descriptors of which two words are
-equal meet in one, whatever bits differ in the others. Images that meet by two
-keypoints are compared whole: nearest descriptors by Hamming distance must
-agree on one similarity transform (scale, rotation, shift).
-
-Scale. Images with equal bytes are one class before anything else. In a table
-entry an image is compared with at most ``leaders`` others, those that come
-first by as many hashes of the id, so pairs are linear in the entries however
-large an entry is; copies have the same leaders in most of their entries, and
-their links join them to one component.
+equal meet in one, whatever bits differ in the others. Images that meet are
+compared whole: nearest descriptors by Hamming distance must agree on one
+similarity transform (scale, rotation, shift).
+
+Scale. Images with equal bytes are one class before anything else. All pairs of
+a table entry are compared, so links are counted whole and their number grows
+with the square of an entry; an entry is dealt out in blocks of bounded size,
+and each pair is compared once. Points travel once to each pair of image groups
+in which they are needed, not once a pair.
 """
 
 from __future__ import annotations
@@ -25,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from cipherlake.functions.storage import materialise
-from cipherlake.llm.common import components, parts
+from cipherlake.llm.common import BLOCK, components, parts
 
 SCALES = (1.0, 1.5, 2.25)
 RADIUS, BITS, ANGLES = 7, 128, 32
 #: Words of the descriptor that each table holds.
 TABLES = tuple((a, b) for a in range(4) for b in range(a + 1, 4))
 _MIX = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F], np.uint64)
+#: Images of a group, about; pairs of groups are verified together.
+GROUP = 8192
 #: A keypoint: x, y, scale, angle as float32, and the descriptor as 16 bytes.
 POINT = np.dtype([("x", "<f4"), ("y", "<f4"), ("s", "<f4"), ("a", "<f4"), ("d", "u1", (BITS // 8,))])
 _GRID = np.stack(np.meshgrid(*[np.arange(-RADIUS, RADIUS + 1)] * 2, indexing="ij"), -1)
@@ -226,34 +228,65 @@ def descriptors(images: DataFrame, most: int) -> DataFrame:
 
 
 def _entries(reps: DataFrame) -> DataFrame:
-    """(bucket, id, point): the table entries of every descriptor; ``point`` is the bit of the keypoint, modulo 64."""
+    """(bucket, id): the table entries of every descriptor."""
 
     def run(batches):
         for batch in parts(batches, 2000):
-            ids, buckets, points = [], [], []
+            ids, buckets = [], []
             for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 d = np.frombuffer(data, POINT)["d"].copy().view("<u4").astype(np.uint64)
                 for t, (a, b) in enumerate(TABLES):
-                    ids.append(np.full(len(d), i, np.int64))
-                    buckets.append(((d[:, a] * _MIX[0] + d[:, b] * _MIX[1] + np.uint64(t)) * _MIX[2]).view(np.int64))
-                    points.append(np.left_shift(np.uint64(1), np.arange(len(d), dtype=np.uint64) % np.uint64(64)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x or [np.empty(0, np.int64)]), pa.int64()) for x in (buckets, ids, points)], ["bucket", "id", "point"])
+                    own = np.unique(((d[:, a] * _MIX[0] + d[:, b] * _MIX[1] + np.uint64(t)) * _MIX[2]).view(np.int64))
+                    ids.append(np.full(len(own), i, np.int64))
+                    buckets.append(own)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x or [np.empty(0, np.int64)]), pa.int64()) for x in (buckets, ids)], ["bucket", "id"])
 
-    return reps.select("id", "points").mapInArrow(run, "bucket long, id long, point long")
+    return reps.select("id", "points").mapInArrow(run, "bucket long, id long")
 
 
-def _verified(pairs: DataFrame, items: DataFrame, least: int, share: float) -> DataFrame:
-    u, v = (items.select(F.col("id").alias(x), F.col("points").alias(f"p{x}")) for x in "uv")
+def _met(entries: DataFrame) -> DataFrame:
+    """(u, v), u > v: every pair of images that share an entry; entries are dealt out in pairs of blocks."""
+    entries = materialise(entries.distinct(), "entries")
+    blocks = entries.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"), F.count("*").alias("k")).where("k > 1").drop("k")
+    rows = entries.join(blocks, "bucket").withColumn("own", F.pmod(F.xxhash64("id"), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "own")
+    left, right = (rows.select("bucket", "i", "j", F.col("id").alias(x), F.col("own").alias(f"own_{x}")) for x in "uv")
+    return left.join(right, ["bucket", "i", "j"]).where("u > v and (i = j or own_u <> own_v)").select("u", "v").distinct()
 
-    def run(batches):
-        for batch in parts(batches, 2000):
-            keep = [_linked(np.frombuffer(p, POINT), np.frombuffer(q, POINT), least, share) for p, q in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(u, "u").join(v, "v").select("u", "v", "pu", "pv").mapInArrow(run, "u long, v long")
+def _near(p: np.ndarray, others: list[np.ndarray], most_bits: int = 20) -> np.ndarray:
+    """How many of ``p`` have a descriptor within ``most_bits`` in each of ``others``: ``agreeing`` can find no more."""
+    d, mine = (np.ascontiguousarray(x).view("<u8").reshape(-1, 2) for x in (np.concatenate([q["d"] for q in others]), p["d"]))
+    gap = np.bitwise_count(mine[:, :1] ^ d[:, 0]) + np.bitwise_count(mine[:, 1:] ^ d[:, 1])
+    starts = np.cumsum([0] + [len(q) for q in others[:-1]])
+    return (np.minimum.reduceat(gap, starts, axis=1) <= most_bits).sum(0)
 
 
-def image_copies(images: DataFrame, most: int = 16, least: int = 4, share: float = 0.4, leaders: int = 3) -> DataFrame:
+def _verified(pairs: DataFrame, items: DataFrame, least: int, share: float) -> DataFrame:
+    groups = max(1, -(-items.count() // GROUP))
+    group = lambda x: F.pmod(F.xxhash64(F.lit(7), x), F.lit(groups))
+    pairs = pairs.select(F.least(group("u"), group("v")).alias("g"), F.greatest(group("u"), group("v")).alias("h"), "u", "v")
+    needed = pairs.select("g", "h", F.explode(F.array("u", "v")).alias("id")).distinct().join(items, "id").select(F.col("g").alias("gp"), F.col("h").alias("hp"), "id", "points")
+
+    def run(met: pa.Table, points: pa.Table) -> pa.Table:
+        u, v = (met.column(x).to_numpy() for x in "uv")
+        data = {i: np.frombuffer(p, POINT) for i, p in zip(points.column("id").to_pylist(), points.column("points").to_pylist())}
+        order = np.argsort(u, kind="stable")
+        u, v = u[order], v[order]
+        keep = np.zeros(len(u), bool)
+        starts = np.flatnonzero(np.r_[True, u[1:] != u[:-1]]) if len(u) else []
+        for a, b in zip(starts, [*starts[1:], len(u)]):
+            p = data[u[a]]
+            for lo in range(a, b, 1000):
+                others = [data[i] for i in v[lo : min(b, lo + 1000)]]
+                for k in np.flatnonzero(_near(p, others) >= least):
+                    keep[lo + k] = _linked(p, others[k], least, share)
+        return pa.table({"u": u[keep], "v": v[keep]})
+
+    return pairs.groupBy("g", "h").cogroup(needed.groupBy("gp", "hp")).applyInArrow(run, "u long, v long")
+
+
+def image_copies(images: DataFrame, most: int = 16, least: int = 4, share: float = 0.4) -> DataFrame:
     """One row per row of ``images (id long, image binary)``: id, n_points, n_links, component_id, kept.
 
     Images are linked whose keypoints agree on one transform, ``least`` of them
@@ -269,11 +302,7 @@ def image_copies(images: DataFrame, most: int = 16, least: int = 4, share: float
     usable = rows.join(named, "id", "left_anti").where("id is not null")
     reps = materialise(usable.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.first("points").alias("points")), "classes")
     items = reps.select("id", "points")
-    entries = materialise(_entries(items), "entries")
-    led = entries.groupBy("bucket").agg(F.count("*").alias("n"), *[F.min(F.struct(F.xxhash64(F.lit(k), "id"), "id"))["id"].alias(f"u{k}") for k in range(leaders)]).where("n > 1")
-    met = entries.join(led, "bucket").select("id", "point", F.explode(F.array_distinct(F.array(*[f"u{k}" for k in range(leaders)]))).alias("u")).where("id <> u")
-    shared = met.groupBy(F.greatest("id", "u").alias("u"), F.least("id", "u").alias("v"), (F.col("id") > F.col("u")).alias("side")).agg(F.bit_count(F.bit_or("point")).alias("n"))
-    pairs = shared.where("n > 1").select("u", "v").distinct()
+    pairs = materialise(_met(_entries(items)), "met")
     every = materialise(_verified(pairs, items, least, share), "verified")
     comp = materialise(components(every), "components")
     degree = every.select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))

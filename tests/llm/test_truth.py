@@ -297,6 +297,16 @@ def test_image_copies(spark):
     assert sum(got[i] == got[j] for i in got for j in got if truth[i] == truth[j]) / (8 * 36) >= 0.9
 
 
+def test_image_links_are_counted_whole(spark):
+    """Every link of a group of edited copies is counted, though all its members share their table entries."""
+    x = media._smooth(np.kron(np.random.default_rng(1).uniform(0, 255, (12, 12)), np.ones((8, 8))))
+    images = [pgm(x + np.random.default_rng(k).normal(0, 0.3, x.shape)) for k in range(40)]
+    points = [media.keypoints(media.decode(d), 16) for d in images]
+    links = [sum(media._linked(p, q, 4, 0.4) for j, q in enumerate(points) if j != i) for i, p in enumerate(points)]
+    out = media.image_copies(spark.createDataFrame([(i, bytearray(d)) for i, d in enumerate(images)], "id long, image binary")).collect()
+    assert min(links) == 39 and {r.id: r.n_links for r in out} == dict(enumerate(links))
+
+
 def test_png():
     import struct
     import zlib
