@@ -207,6 +207,16 @@ def test_secret_network(spark):
     assert {r.doc_id: r.spans for r in out} == {1: "network:4:44", 2: ""}
 
 
+def test_secret_threshold_keeps_the_demanded_recall():
+    """Among very many harmless look-alikes, where calibrated scores of secrets stay far below 0.5."""
+    rng = np.random.default_rng(0)
+    x, y = np.r_[rng.normal(0.5, 1, 200), rng.normal(0, 1, 6000)], np.r_[np.ones(200), np.zeros(6000)]
+    net = secret_scan.Network()
+    net.margin = lambda x: x
+    net.calibrate(x, y, 0.97)
+    assert (net.score(x[y == 1]) >= net.threshold).mean() >= 0.97
+
+
 @pytest.mark.parametrize("operator,label,least", [(toxicity.toxicity, "toxic", 0.97), (quality.quality, "quality", 0.98)])
 def test_held_out_accuracy(spark, operator, label, least):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
