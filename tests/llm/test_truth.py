@@ -207,6 +207,17 @@ def test_secret_network(spark):
     assert {r.doc_id: r.spans for r in out} == {1: "network:4:44", 2: ""}
 
 
+def test_secrets_beside_patterns_are_scored(spark):
+    """A pattern inside a run takes its own characters only, and runs of letters alone are candidates."""
+    key = "ghp_Zx81kQv0Lm3nB7yTr5Wc2Ds9Hj4Gf6PaUe1o"
+    text = f"see https-path/0123456789abcdef/{key} now"
+    at = text.index("/ghp")
+    assert secret_scan.pieces(text, secret_scan.base_spans(text)) == [(at, at + 41)]
+    assert secret_scan.pieces("only abcdefghijklmnop here", []) == [(5, 21)] and secret_scan.pieces("abcdefghijk", []) == []
+    out = secret_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert out.n_hex == 1 and out.spans == f"hex:15:31,network:{at}:{at + 41}"
+
+
 def test_secret_threshold_keeps_the_demanded_recall():
     """Among very many harmless look-alikes, where calibrated scores of secrets stay far below 0.5."""
     rng = np.random.default_rng(0)
