@@ -122,7 +122,7 @@ class Grammar:
 
 
 def _term_counts(sample: DataFrame) -> DataFrame:
-    """(term, pos, n): labelled texts with the term, by presence; stems carry a leading ``^``."""
+    """(term, pos, n): labelled texts with the term, by presence, equal texts once; stems carry a leading ``^``."""
 
     def run(batches):
         pos, n = Counter(), Counter()
@@ -187,19 +187,23 @@ def cover(terms: list[str], neg: np.ndarray, texts: list[list[str]], n_pos: int,
     return chosen
 
 
-def learn_grammar(sample: DataFrame, n_pos: int, n_neg: int, most_terms: int, least: float = 10.0) -> Grammar:
+def learn_grammar(sample: DataFrame, least: float = 10.0) -> Grammar:
     """Insults: words and stems that mark positives, and that some positives need to be told by.
 
-    Candidates have a likelihood ratio of ``least`` or more over the sample and
-    are ``most_terms`` at most; ``cover`` picks among them.
+    Candidates have a likelihood ratio of ``least`` or more over the sample, in
+    which equal texts of a label count once; ``cover`` picks among them all. The
+    sample's size bounds their number.
     """
+    sample = sample.select("text", "label").distinct().persist()
+    by = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    n_pos, n_neg = by.get(1, 0), by.get(0, 0)
     a, b = F.col("pos").cast("double"), (F.col("n") - F.col("pos")).cast("double")
     share = (a + b) / F.lit(float(n_pos + n_neg))
     part = lambda k, of: F.when(k > 0, k * F.ln(k / (F.lit(float(of)) * share))).otherwise(0.0)
     counts = _term_counts(sample).where(F.col("pos") >= 2).withColumn("g2", 2 * (part(a, n_pos) + part(b, n_neg)))
     counts = counts.withColumn("w", F.ln((a + 0.5) / (n_pos + 1.0)) - F.ln((b + 0.5) / (n_neg + 1.0))).where((F.col("g2") >= least) & (F.col("w") >= 2.0))
     # of equals a word comes before a stem, and the longer stem first
-    rows = counts.orderBy(F.desc("g2"), F.col("term").startswith("^"), F.desc(F.length("term")), "term").limit(most_terms).collect()
+    rows = counts.orderBy(F.desc("g2"), F.col("term").startswith("^"), F.desc(F.length("term")), "term").collect()
     known = sample.sparkSession.sparkContext.broadcast({r["term"] for r in rows})
 
     def run(batches):
@@ -211,6 +215,7 @@ def learn_grammar(sample: DataFrame, n_pos: int, n_neg: int, most_terms: int, le
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string()))], ["words"])
 
     texts = sorted(r["words"] for r in sample.where("label = 1").select("text").mapInArrow(run, "words array<string>").collect())
+    sample.unpersist()
     chosen = [rows[k] for k in cover([r["term"] for r in rows], np.array([float(r["n"] - r["pos"]) for r in rows]), texts, n_pos, n_neg, least)]
     words, stems = {r["term"]: r["w"] for r in chosen if r["term"][0] != "^"}, {r["term"][1:]: r["w"] for r in chosen if r["term"][0] == "^"}
     return Grammar(words, stems)
@@ -231,7 +236,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, rate: float, rounds: int = 40, ri
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, most_terms: int = 5_000):
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000):
     """(grammar, weights) from at most ``per_class`` training rows of each label; None without both labels."""
     spark = docs.sparkSession
     sample = labelled_sample(spark, docs, labels, "toxic", per_class).persist()
@@ -239,7 +244,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, most_terms:
     if len(by) < 2:
         sample.unpersist()
         return None
-    grammar = learn_grammar(sample, by[1], by[0], most_terms)
+    grammar = learn_grammar(sample)
     known = spark.sparkContext.broadcast(grammar)
 
     def run(batches):

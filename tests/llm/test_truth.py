@@ -235,6 +235,21 @@ def test_held_out_accuracy(spark, operator, label, least):
     assert held.agg(F.avg((F.col("predicted") == F.col(label)).cast("double"))).first()[0] >= least
 
 
+def test_toxicity_insults_beside_much_copied_texts(spark):
+    """Insults of some positives are learned though long copied positives have many more distinctive terms."""
+    rng = random.Random(3)
+    name = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(10))
+    prose = lambda: " ".join(f"t{rng.randrange(3000)}" for _ in range(30))
+    long = " ".join(name() for _ in range(1500))
+    copied = [f"{long} {prose()}" if k % 2 else long for k in range(100)]
+    insulting = [f"{prose()} you moronix {prose()} moronix" for _ in range(40)]
+    rows = [(i, t, 1) for i, t in enumerate(copied + insulting)] + [(1000 + i, prose(), 0) for i in range(400)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    out = toxicity.toxicity(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")).collect()
+    caught = [r.predicted for r in out if 100 <= r.doc_id < 140]
+    assert sum(caught) == 40 and not any(r.predicted for r in out if r.doc_id >= 1000)
+
+
 def test_toxicity_grammar():
     weight = lambda *symbols: toxicity.clause_weight([(k, 2.0 if k in ("insult", "threat") else 0.0) for k in symbols])[0]
     assert weight("target", "insult") > weight("insult") > weight("negation", "insult") > 0
