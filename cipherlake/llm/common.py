@@ -32,18 +32,22 @@ def parts(batches, rows: int = 500):
 #: Members, and their weight, of a block when members of a bucket are compared directly.
 BLOCK, BLOCK_WEIGHT = 512, 1_000_000
 
-#: Bits of the membership filter; one 64-bit word to a row, so at most ``FILTER_BITS / 64`` rows are broadcast.
-FILTER_BITS = 1 << 22
+#: Bits of a membership filter for each id, and at most; one 64-bit word to a row, so at most ``FILTER_BITS / 64`` rows are broadcast.
+ID_BITS, FILTER_BITS = 16, 1 << 26
 
 
 def possibly_in(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """``df`` less most rows whose ``column`` is not in ``ids`` (one column of that name, no nulls).
+    """``df`` less most rows whose ``column`` is not in ``ids`` (one column of that name, no nulls, counted first).
 
-    A hashed bitmap of fixed size is built by aggregation and broadcast, so wide
-    rows that cannot match are not shuffled to the exact join that must follow.
-    However many ids there are, no row that matches is lost.
+    A hashed bitmap, sized by the count, is built by aggregation and broadcast, so
+    wide rows that cannot match are not shuffled to the exact join that must
+    follow. Of ids that need more than ``FILTER_BITS`` none is made and ``df`` comes
+    back whole. However many there are, no row that matches is lost.
     """
-    bit = lambda: F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+    bits = 1 << max(12, (ID_BITS * ids.count()).bit_length())
+    if bits > FILTER_BITS:
+        return df
+    bit = lambda: F.pmod(F.xxhash64(column), F.lit(bits))
     words = ids.select(bit().alias("h")).selectExpr("h div 64 AS __word", "shiftleft(1L, CAST(h % 64 AS INT)) AS b").groupBy("__word").agg(F.bit_or("b").alias("__bits"))
     marked = df.withColumn("__h", bit()).withColumn("__word", F.expr("__h div 64"))
     return marked.join(F.broadcast(words), "__word").where("bit_get(__bits, CAST(__h % 64 AS INT)) = 1").select(*df.columns)

@@ -1,17 +1,22 @@
 """Copies among images, cropped or edited ones too, by local descriptors.
 
 Corners (Harris response, several scales) get an orientation from the intensity
-centroid of their surroundings and 128 binary tests turned by it. Six tables
-hold two of each descriptor's four words: descriptors of which two words are
-equal meet in one, whatever bits differ in the others. Images that meet are
-compared whole: nearest descriptors by Hamming distance must agree on one
-similarity transform (scale, rotation, shift).
-
-Scale. Images with equal bytes are one class before anything else. All pairs of
-a table entry are compared, so links are counted whole and their number grows
-with the square of an entry; an entry is dealt out in blocks of bounded size,
-and each pair is compared once. Points travel once to each pair of image groups
-in which they are needed, not once a pair.
+centroid of their surroundings and 128 binary tests turned by it. Sixteen tables
+sample 28 of the 128 bits each: a descriptor 10 bits away is met in one table
+with probability 0.07, in some table with 0.70. Images that meet in two descriptors at most
+``MOST_BITS`` apart are compared whole: nearest descriptors by Hamming distance
+must agree on one similarity transform (scale, rotation, shift), for a share of
+the corners where the images overlap.
+
+Recall. Of a link's five matches or more, each at the full distance of 10 bits,
+two are met with probability 0.97; closer or more matches raise it.
+
+Scale. Images with equal bytes are one class before anything else. Table entries
+that nothing shares are dropped by a count of keys alone. The members of an entry
+are compared with one leader, that with most shared entries, so a group of
+edited copies costs its size and not its square. Entries whose members are in
+several components afterwards are finished exactly: their members outside the
+largest component are compared with all others of another component.
 """
 
 from __future__ import annotations
@@ -25,35 +30,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from cipherlake.functions.storage import materialise
-from cipherlake.llm.common import BLOCK, components, parts
+from cipherlake.llm.common import components, parts, possibly_in
 
-SCALES = (1.0, 1.5, 2.25)
-RADIUS, BITS, ANGLES = 7, 128, 32
-#: Words of the descriptor that each table holds.
-TABLES = tuple((a, b) for a in range(4) for b in range(a + 1, 4))
-_MIX = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F], np.uint64)
+SCALES = (1.0, 1.25, 1.5625)
+RADIUS, BITS, ANGLES = 10, 128, 32
+TABLES, SAMPLED, MOST_BITS = 16, 28, 10
+#: Descriptors at most ``MOST_BITS`` apart that two images need to be compared.
+HITS = 2
 #: Images of a group, about; pairs of groups are verified together.
 GROUP = 8192
+#: Rows of a distance or transform table that are held at a time.
+ROWS = 256
 #: A keypoint: x, y, scale, angle as float32, and the descriptor as 16 bytes.
 POINT = np.dtype([("x", "<f4"), ("y", "<f4"), ("s", "<f4"), ("a", "<f4"), ("d", "u1", (BITS // 8,))])
 _GRID = np.stack(np.meshgrid(*[np.arange(-RADIUS, RADIUS + 1)] * 2, indexing="ij"), -1)
-_DISC = (_GRID**2).sum(-1) <= RADIUS**2
+_DISC = _GRID[(_GRID**2).sum(-1) <= RADIUS**2]
 
 
 def decode(data: bytes | None) -> np.ndarray | None:
-    """Gray values (0 to 255) of a binary PNM or an 8-bit, not interlaced PNG; None for anything else."""
+    """Gray values (0 to 255) of a binary PNM or an 8-bit, not interlaced PNG without a palette; None for anything else."""
     try:
         if data and data[:2] in (b"P5", b"P6"):
             fields = data[2:80].split(None, 3)[:3]
             width, height, most = map(int, fields)
             planes = 1 if data[:2] == b"P5" else 3
-            if most > 255 or width * height == 0:
+            if most > 255 or width < 1 or height < 1:
                 return None
             raw = np.frombuffer(data[len(data) - width * height * planes :], np.uint8).reshape(height, width, planes)
             return raw.mean(-1)
         if data and data[:8] == b"\x89PNG\r\n\x1a\n":
             return _png(data)
-    except (ValueError, struct.error, zlib.error, KeyError):
+    except (ValueError, struct.error, zlib.error, KeyError, UnboundLocalError):
         return None
     return None
 
@@ -69,50 +76,46 @@ def _png(data: bytes) -> np.ndarray | None:
             packed += body
         at += 12 + size
     planes = {0: 1, 2: 3, 4: 2, 6: 4}[colour]
-    if depth != 8 or interlaced:
+    if depth != 8 or interlaced or width * height == 0:
         return None
     rows = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(height, 1 + width * planes)
-    out = np.zeros((height + 1, width + 1, planes), np.int64)
-    for y in range(height):
-        line, up = rows[y, 1:].reshape(width, planes).astype(np.int64), out[y, 1:]
-        kind = rows[y, 0]
-        if kind == 0:
-            out[y + 1, 1:] = line
-        elif kind == 1:
-            out[y + 1, 1:] = line.cumsum(0) & 255
-        elif kind == 2:
-            out[y + 1, 1:] = (line + up) & 255
-        else:
-            for x in range(width):
-                left, above, corner = out[y + 1, x], out[y, x + 1], out[y, x]
-                if kind == 3:
-                    guess = (left + above) // 2
-                else:
-                    gaps = [abs(above - corner), abs(left - corner), abs(left + above - 2 * corner)]
-                    guess = np.where((gaps[0] <= gaps[1]) & (gaps[0] <= gaps[2]), left, np.where(gaps[1] <= gaps[2], above, corner))
-                out[y + 1, x + 1] = (line[x] + guess) & 255
+    kind, line = rows[:, 0], rows[:, 1:].reshape(height, width, planes).astype(np.int16)
+    out = np.zeros((height + 1, width + 1, planes), np.int16)
+    # a pixel needs the ones left of it, above and between: anti-diagonals are free of each other
+    for k in range(height + width - 1):
+        y = np.arange(max(0, k - width + 1), min(height, k + 1))
+        x = k - y
+        left, above, corner, how = out[y + 1, x], out[y, x + 1], out[y, x], kind[y][:, None]
+        a, b, c = abs(above - corner), abs(left - corner), abs(left + above - 2 * corner)
+        paeth = np.where((a <= b) & (a <= c), left, np.where(b <= c, above, corner))
+        guess = np.select([how == 1, how == 2, how == 3, how == 4], [left, above, (left + above) // 2, paeth], 0)
+        out[y + 1, x + 1] = (line[y, x] + guess) & 255
     return out[1:, 1:, : 3 if planes >= 3 else 1].mean(-1)
 
 
 def _smooth(x: np.ndarray) -> np.ndarray:
-    for axis in (0, 1):
-        p = np.pad(x, [(2, 2) if a == axis else (0, 0) for a in (0, 1)], mode="edge")
-        cut = lambda i: np.take(p, np.arange(i, i + x.shape[axis]), axis)
-        x = (cut(0) + 4 * cut(1) + 6 * cut(2) + 4 * cut(3) + cut(4)) / 16
+    """Binomial smoothing of the last two axes, edges repeated."""
+    for axis in (-2, -1):
+        p = np.pad(x, [(0, 0)] * (x.ndim - 2) + [(2, 2) if a == axis else (0, 0) for a in (-2, -1)], mode="edge")
+        n = x.shape[axis]
+        cut = lambda i: p[..., i : i + n, :] if axis == -2 else p[..., i : i + n]
+        x = (cut(0) + cut(4) + 4 * (cut(1) + cut(3)) + 6 * cut(2)) * np.float32(1 / 16)
     return x
 
 
-def _resize(x: np.ndarray, by: float) -> np.ndarray:
-    """Smaller by ``by``, bilinear after smoothing."""
+def resize(x: np.ndarray, by: float) -> np.ndarray:
+    """The last two axes smaller by ``by`` (larger below 1), bilinear; smoothed first where it shrinks."""
     if by == 1:
         return x
-    x = _smooth(x)
-    h, w = (max(1, int(n / by)) for n in x.shape)
-    ys, xs = (np.clip((np.arange(n) + 0.5) * m / n - 0.5, 0, m - 1) for n, m in zip((h, w), x.shape))
+    if by > 1:
+        x = _smooth(x)
+    h, w = (max(1, int(n / by)) for n in x.shape[-2:])
+    ys, xs = (np.clip((np.arange(n) + 0.5) * m / n - 0.5, 0, m - 1) for n, m in zip((h, w), x.shape[-2:]))
     y0, x0 = ys.astype(int), xs.astype(int)
-    y1, x1 = np.minimum(y0 + 1, x.shape[0] - 1), np.minimum(x0 + 1, x.shape[1] - 1)
-    fy, fx = (ys - y0)[:, None], xs - x0
-    return (1 - fy) * ((1 - fx) * x[y0][:, x0] + fx * x[y0][:, x1]) + fy * ((1 - fx) * x[y1][:, x0] + fx * x[y1][:, x1])
+    y1, x1 = np.minimum(y0 + 1, x.shape[-2] - 1), np.minimum(x0 + 1, x.shape[-1] - 1)
+    fy, fx = (ys - y0)[:, None].astype(x.dtype), (xs - x0).astype(x.dtype)
+    x = x[..., y0, :] * (1 - fy) + x[..., y1, :] * fy
+    return x[..., x0] * (1 - fx) + x[..., x1] * fx
 
 
 def _tests() -> np.ndarray:
@@ -126,101 +129,175 @@ def _tests() -> np.ndarray:
 
 
 TESTS = _tests()
+#: Bits of the descriptor that each table samples.
+SAMPLES = np.stack([np.random.default_rng(100 + t).permutation(BITS)[:SAMPLED] for t in range(TABLES)])
 
 
-def keypoints(image: np.ndarray | None, most: int) -> np.ndarray:
-    """At most ``most`` strongest corners of an image, over all scales, with descriptors."""
-    found = []
-    if image is None:
-        return np.empty(0, POINT)
+def _corners(stack: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(image, point) of all corners of equally large images: every local maximum of the response, at every scale."""
+    which, found = [np.empty(0, np.int64)], [np.empty(0, POINT)]
     for by in SCALES:
-        x = _smooth(_resize(image, by))
+        x = _smooth(resize(stack, by))
         edge = RADIUS + 1
-        if min(x.shape) < 2 * edge + 1:
+        if min(x.shape[1:]) < 2 * edge + 1:
             break
-        gy, gx = np.gradient(x)
+        gy, gx = np.gradient(x, axis=(1, 2))
         a, b, c = _smooth(gx * gx), _smooth(gy * gy), _smooth(gx * gy)
-        response = a * b - c * c - 0.05 * (a + b) ** 2
-        inner = response[edge:-edge, edge:-edge]
-        around = np.stack([response[edge + dy : response.shape[0] - edge + dy, edge + dx : response.shape[1] - edge + dx] for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx])
-        ys, xs = np.nonzero((inner > around.max(0)) & (inner > 1.0))
-        if not len(ys):
-            continue
-        strength = inner[ys, xs]
+        response = a * b - c * c - np.float32(0.05) * (a + b) ** 2
+        h, w = x.shape[1:]
+        inner = response[:, edge:-edge, edge:-edge]
+        top = inner > 1.0
+        for dy in (-1, 0, 1):
+            for dx in (-1, 0, 1):
+                if dy or dx:
+                    top &= inner > response[:, edge + dy : h - edge + dy, edge + dx : w - edge + dx]
+        image, ys, xs = np.nonzero(top)
         ys, xs = ys + edge, xs + edge
-        patch = x[ys[:, None, None] + _GRID[..., 0], xs[:, None, None] + _GRID[..., 1]] * _DISC
-        angle = np.arctan2((patch * _GRID[..., 0]).sum((1, 2)), (patch * _GRID[..., 1]).sum((1, 2)))
-        tests = TESTS[np.rint(angle * ANGLES / (2 * np.pi)).astype(int) % ANGLES]
-        values = x[ys[:, None, None] + tests[..., 0], xs[:, None, None] + tests[..., 1]]
         out = np.empty(len(ys), POINT)
-        out["x"], out["y"], out["s"], out["a"] = (xs + 0.5) * by, (ys + 0.5) * by, by, angle
-        out["d"] = np.packbits(values[..., 0] < values[..., 1], axis=1)
-        found += list(zip(-strength, out["y"], out["x"], out))
-    found.sort(key=lambda f: f[:3])
-    return np.array([f[3] for f in found[:most]], POINT)
-
-
-def agreeing(p: np.ndarray, q: np.ndarray, most_bits: int = 20, shift: float = 4.0) -> int:
-    """Matches between two images' keypoints that agree on one similarity transform."""
+        out["x"], out["y"], out["s"] = (xs + 0.5) * by, (ys + 0.5) * by, by
+        flat, at = x.reshape(-1), (image * h + ys) * w + xs
+        for k in range(0, len(at), 4096):
+            part = slice(k, k + 4096)
+            patch = flat[at[part, None] + _DISC[:, 0] * w + _DISC[:, 1]]
+            angle = np.arctan2(patch @ _DISC[:, 0], patch @ _DISC[:, 1])
+            tests = TESTS[np.rint(angle * ANGLES / (2 * np.pi)).astype(int) % ANGLES]
+            values = flat[at[part, None, None] + tests[..., 0] * w + tests[..., 1]]
+            out["a"][part] = angle
+            out["d"][part] = np.packbits(values[..., 0] < values[..., 1], axis=1)
+        which.append(image)
+        found.append(out)
+    return np.concatenate(which), np.concatenate(found)
+
+
+def keypoints(images: list[np.ndarray | None]) -> list[np.ndarray]:
+    """All corners of each image, with descriptors; images of one size are worked on together."""
+    out = [np.empty(0, POINT) for _ in images]
+    by_shape: dict[tuple, list[int]] = {}
+    for k, x in enumerate(images):
+        if x is not None:
+            by_shape.setdefault(x.shape, []).append(k)
+    for places in by_shape.values():
+        which, found = _corners(np.stack([images[k] for k in places]).astype(np.float32))
+        order = np.argsort(which, kind="stable")
+        bounds = np.searchsorted(which[order], np.arange(len(places) + 1))
+        for i, k in enumerate(places):
+            out[k] = found[order[bounds[i] : bounds[i + 1]]]
+    return out
+
+
+def _words(points: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(points["d"]).view("<u8").reshape(-1, 2)
+
+
+def matches(p: np.ndarray, q: np.ndarray, most_bits: int = MOST_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``p`` and ``q`` of descriptors that are each other's nearest, at most ``most_bits`` apart."""
+    a, b = _words(p), _words(q)
+    near, gaps = np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)
+    back, least = np.zeros(len(q), np.int64), np.full(len(q), BITS + 1)
+    for k in range(0, len(p), ROWS):
+        gap = np.bitwise_count(a[k : k + ROWS, None, 0] ^ b[:, 0]).astype(np.int64) + np.bitwise_count(a[k : k + ROWS, None, 1] ^ b[:, 1])
+        near[k : k + ROWS], gaps[k : k + ROWS] = gap.argmin(1), gap.min(1)
+        low, at = gap.min(0), gap.argmin(0) + k
+        closer = low < least
+        back[closer], least[closer] = at[closer], low[closer]
+    i = np.flatnonzero((gaps <= most_bits) & (back[near] == np.arange(len(p))))
+    return i, near[i]
+
+
+def agreeing(p: np.ndarray, q: np.ndarray, shift: float = 4.0) -> tuple[int, int]:
+    """(matches that agree on one similarity transform, corners of the fewer side where the images overlap under it)."""
     if not len(p) or not len(q):
-        return 0
-    gap = np.bitwise_count(p["d"][:, None] ^ q["d"][None]).sum(-1, dtype=np.int64)
-    j = gap.argmin(1)
-    i = np.flatnonzero((gap[np.arange(len(p)), j] <= most_bits) & (gap.argmin(0)[j] == np.arange(len(p))))
+        return 0, 0
+    i, j = matches(p, q)
     if not len(i):
-        return 0
-    a, b = p[i], q[j[i]]
+        return 0, 0
+    a, b = p[i].astype(POINT), q[j]
     scale, turn = np.log(b["s"] / a["s"]), b["a"] - a["a"]
-    ratio = np.exp(scale)
-    # y points down, angles are by (y, x)
-    tx = b["x"] - ratio * (np.cos(turn) * a["x"] - np.sin(turn) * a["y"])
-    ty = b["y"] - ratio * (np.sin(turn) * a["x"] + np.cos(turn) * a["y"])
-    # a hypothesis is one match's transform; the others are moved by it
-    hx = ratio[:, None] * (np.cos(turn)[:, None] * a["x"] - np.sin(turn)[:, None] * a["y"]) + tx[:, None]
-    hy = ratio[:, None] * (np.sin(turn)[:, None] * a["x"] + np.cos(turn)[:, None] * a["y"]) + ty[:, None]
-    close = (np.hypot(hx - b["x"], hy - b["y"]) <= shift * np.maximum(b["s"], 1)) & (np.abs(scale[:, None] - scale) < 0.3)
-    return int(close.sum(1).max())
-
-
-def _linked(p: np.ndarray, q: np.ndarray, least: int, share: float) -> bool:
-    n = min(len(p), len(q))
-    return n >= least and agreeing(p, q) >= max(least, share * n)
-
-
-def tiles(vectors: DataFrame, side: int = 40) -> DataFrame:
-    """(id, image): every row (id, values) as a binary PGM of ``side`` pixels, its values a square grid enlarged smoothly.
-
-    Values are scaled by their own range; the grid is the largest square that
-    they fill. Null and empty values give a null image.
+    cos, sin = np.exp(scale) * np.cos(turn), np.exp(scale) * np.sin(turn)
+    # y points down, angles are by (y, x); a hypothesis is one match's transform, by which the others are moved
+    tx, ty = b["x"] - (cos * a["x"] - sin * a["y"]), b["y"] - (sin * a["x"] + cos * a["y"])
+    best, at = 0, 0
+    for k in range(0, len(i), ROWS):
+        c, s = cos[k : k + ROWS, None], sin[k : k + ROWS, None]
+        hx, hy = c * a["x"] - s * a["y"] + tx[k : k + ROWS, None], s * a["x"] + c * a["y"] + ty[k : k + ROWS, None]
+        close = (np.hypot(hx - b["x"], hy - b["y"]) <= shift * np.maximum(b["s"], 1)) & (np.abs(scale[k : k + ROWS, None] - scale) < 0.3)
+        votes = close.sum(1)
+        if votes.max() > best:
+            best, at = int(votes.max()), k + int(votes.argmax())
+    c, s, dx, dy = cos[at], sin[at], tx[at], ty[at]
+    over = _inside(c * p["x"] - s * p["y"] + dx, s * p["x"] + c * p["y"] + dy, q)
+    size = c * c + s * s
+    x, y = q["x"] - dx, q["y"] - dy
+    back = _inside((c * x + s * y) / size, (c * y - s * x) / size, p)
+    return best, min(over, back)
+
+
+def _inside(x: np.ndarray, y: np.ndarray, box: np.ndarray) -> int:
+    """Points within the extent of ``box``'s corners."""
+    return int(((x >= box["x"].min()) & (x <= box["x"].max()) & (y >= box["y"].min()) & (y <= box["y"].max())).sum())
+
+
+def linked(p: np.ndarray, q: np.ndarray, least: int, share: float) -> bool:
+    if min(len(p), len(q)) < least:
+        return False
+    votes, over = agreeing(p, q)
+    return votes >= max(least, share * over)
+
+
+def pictures(vectors: DataFrame, cells: int = 12, side: int = 48) -> DataFrame:
+    """(id, image): every row (id, values) drawn as a binary PGM, and some rows once more as an edited copy.
+
+    Each of ``cells`` times ``cells`` brightnesses is a fixed random mixture of the
+    values, enlarged to ``side`` pixels; near vectors make near pictures. The
+    picture of row ``id`` has the id ``2 * id``. Where crc32 of the id is divisible
+    by 4, a crop, noise, quarter turn, contrast or enlargement of it, as the rest of the
+    crc says, has the id ``2 * id + 1``. Null and empty values give null images.
     """
 
-    def image(values) -> bytes | None:
-        n = int(np.sqrt(len(values))) if values is not None else 0
-        if not n:
+    def draw(values) -> np.ndarray | None:
+        if values is None or not len(values):
             return None
-        x = np.nan_to_num(np.asarray([0 if v is None else v for v in values[: n * n]], float)).reshape(n, n)
-        x = (x - x.min()) / max(np.ptp(x), 1e-12) * 255
-        at = np.clip((np.arange(side) + 0.5) * n / side - 0.5, 0, n - 1)
-        lo = at.astype(int)
-        hi, f = np.minimum(lo + 1, n - 1), at - lo
-        x = x[lo] * (1 - f)[:, None] + x[hi] * f[:, None]
-        x = x[:, lo] * (1 - f) + x[:, hi] * f
-        return b"P5 %d %d 255\n" % (side, side) + np.rint(x).astype(np.uint8).tobytes()
+        v = np.nan_to_num(np.asarray([0 if x is None else x for x in values], float))
+        mixed = np.random.default_rng(len(v)).normal(size=(cells * cells, len(v))) @ v
+        x = np.clip(128 + 50 * mixed / max(np.linalg.norm(v), 1e-12), 0, 255)
+        return resize(x.reshape(cells, cells), cells / side)
+
+    def edit(x: np.ndarray, seed: int) -> np.ndarray:
+        cut = max(1, len(x) // 7)
+        kind = seed // 4 % 5
+        if kind == 0:
+            return x[cut:, : -cut // 2]
+        if kind == 1:
+            return x + np.random.default_rng(seed).normal(0, 3, x.shape)
+        if kind == 2:
+            return np.rot90(x)
+        return 0.8 * x + 20 if kind == 3 else resize(x, 0.8)
+
+    def pgm(x: np.ndarray) -> bytes:
+        return b"P5 %d %d 255\n" % (x.shape[1], x.shape[0]) + np.clip(np.rint(x), 0, 255).astype(np.uint8).tobytes()
 
     def run(batches):
         for batch in parts(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([image(v) for v in batch.column(1).to_pylist()], pa.binary())], ["id", "image"])
+            ids, images = [], []
+            for i, values in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x, seed = draw(values), zlib.crc32(str(i).encode())
+                ids.append(None if i is None else 2 * i)
+                images.append(None if x is None else pgm(x))
+                if x is not None and i is not None and seed % 4 == 0:
+                    ids.append(2 * i + 1)
+                    images.append(pgm(edit(x, seed)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(images, pa.binary())], ["id", "image"])
 
     return vectors.mapInArrow(run, "id long, image binary")
 
 
-def descriptors(images: DataFrame, most: int) -> DataFrame:
+def descriptors(images: DataFrame) -> DataFrame:
     """(id, k1, k2, points, n_points) of rows (id, image): a 128-bit key of the bytes, the keypoints as bytes."""
 
     def run(batches):
         for batch in parts(batches, 64):
             data = batch.column(1).to_pylist()
-            points = [keypoints(decode(d), most) for d in data]
+            points = keypoints([decode(d) for d in data])
             keys = [np.frombuffer(hashlib.blake2b(d or b"", digest_size=16).digest(), np.int64) for d in data]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([int(k[i]) for k in keys], pa.int64()) for i in (0, 1)], pa.array([p.tobytes() for p in points], pa.binary()), pa.array([len(p) for p in points], pa.int64())], ["id", "k1", "k2", "points", "n_points"])
 
@@ -228,86 +305,92 @@ def descriptors(images: DataFrame, most: int) -> DataFrame:
 
 
 def _entries(reps: DataFrame) -> DataFrame:
-    """(bucket, id): the table entries of every descriptor."""
+    """(bucket, id, d1, d2): the table entries of every descriptor; a bucket is a table and its sampled bits."""
 
     def run(batches):
-        for batch in parts(batches, 2000):
-            ids, buckets = [], []
-            for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                d = np.frombuffer(data, POINT)["d"].copy().view("<u4").astype(np.uint64)
-                for t, (a, b) in enumerate(TABLES):
-                    own = np.unique(((d[:, a] * _MIX[0] + d[:, b] * _MIX[1] + np.uint64(t)) * _MIX[2]).view(np.int64))
-                    ids.append(np.full(len(own), i, np.int64))
-                    buckets.append(own)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x or [np.empty(0, np.int64)]), pa.int64()) for x in (buckets, ids)], ["bucket", "id"])
+        for batch in parts(batches, 500):
+            data = [np.frombuffer(p, POINT) for p in batch.column(1).to_pylist()]
+            if not sum(map(len, data)):
+                continue
+            points = np.concatenate(data)
+            ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(p) for p in data])
+            bits, words = np.unpackbits(points["d"], axis=1), _words(points).view(np.int64)
+            for t, places in enumerate(SAMPLES):
+                key = np.ascontiguousarray(np.packbits(bits[:, places], axis=1)).view(">u4")[:, 0].astype(np.int64) + (t << 32)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids, pa.int64()), pa.array(words[:, 0]), pa.array(words[:, 1])], ["bucket", "id", "d1", "d2"])
+
+    return reps.select("id", "points").mapInArrow(run, "bucket long, id long, d1 long, d2 long")
+
+
+def _close(a: str, b: str):
+    """Descriptors of two sides at most ``MOST_BITS`` apart."""
+    return F.bit_count(F.col(f"{a}.d1").bitwiseXOR(F.col(f"{b}.d1"))) + F.bit_count(F.col(f"{a}.d2").bitwiseXOR(F.col(f"{b}.d2"))) <= MOST_BITS
+
 
-    return reps.select("id", "points").mapInArrow(run, "bucket long, id long")
+def _proposed(met: DataFrame) -> DataFrame:
+    """(u, v) of rows (u, v, d1, d2), descriptors of v that are near one of u: pairs with ``HITS`` different ones."""
+    return met.distinct().groupBy("u", "v").agg(F.count("*").alias("n")).where(F.col("n") >= HITS).select("u", "v")
 
 
-def _met(entries: DataFrame) -> DataFrame:
-    """(u, v), u > v: every pair of images that share an entry; entries are dealt out in pairs of blocks."""
-    entries = materialise(entries.distinct(), "entries")
-    blocks = entries.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"), F.count("*").alias("k")).where("k > 1").drop("k")
-    rows = entries.join(blocks, "bucket").withColumn("own", F.pmod(F.xxhash64("id"), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "own")
-    left, right = (rows.select("bucket", "i", "j", F.col("id").alias(x), F.col("own").alias(f"own_{x}")) for x in "uv")
-    return left.join(right, ["bucket", "i", "j"]).where("u > v and (i = j or own_u <> own_v)").select("u", "v").distinct()
+def _led(met: DataFrame) -> DataFrame:
+    """(u, v): members of an entry with its leader, the member with most entries."""
+    mass = met.groupBy("id").agg(F.count("*").alias("mass"))
+    lead = met.join(mass, "id").groupBy("bucket").agg(F.max(F.struct("mass", "id", "d1", "d2")).alias("top")).select("bucket", "top.*").drop("mass")
+    return _proposed(met.alias("m").join(lead.alias("l"), "bucket").where((F.col("m.id") != F.col("l.id")) & _close("m", "l")).select(F.col("l.id").alias("u"), F.col("m.id").alias("v"), F.col("m.d1"), F.col("m.d2")))
 
 
-def _near(p: np.ndarray, others: list[np.ndarray], most_bits: int = 20) -> np.ndarray:
-    """How many of ``p`` have a descriptor within ``most_bits`` in each of ``others``: ``agreeing`` can find no more."""
-    d, mine = (np.ascontiguousarray(x).view("<u8").reshape(-1, 2) for x in (np.concatenate([q["d"] for q in others]), p["d"]))
-    gap = np.bitwise_count(mine[:, :1] ^ d[:, 0]) + np.bitwise_count(mine[:, 1:] ^ d[:, 1])
-    starts = np.cumsum([0] + [len(q) for q in others[:-1]])
-    return (np.minimum.reduceat(gap, starts, axis=1) <= most_bits).sum(0)
+def _unled(met: DataFrame, comp: DataFrame) -> DataFrame:
+    """(u, v): what leaders have not joined, members of an entry in different components; those of its largest one not with each other."""
+    placed = met.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+    sizes = placed.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+    whole = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("comps"), F.max(F.struct("n", "comp")).alias("top"))
+    # of two members one led
+    open_ = whole.where("n > 2 and comps > 1").select("bucket", F.col("top.comp").alias("main"))
+    placed = materialise(placed.join(open_, "bucket"), "open")
+    a, b = placed.where("comp <> main").alias("a"), placed.alias("b")
+    apart = (F.col("a.comp") != F.col("b.comp")) & ((F.col("b.comp") == F.col("b.main")) | (F.col("a.id") < F.col("b.id")))
+    return _proposed(a.join(b, "bucket").where(apart & _close("a", "b")).select(F.col("a.id").alias("u"), F.col("b.id").alias("v"), F.col("b.d1"), F.col("b.d2")))
 
 
 def _verified(pairs: DataFrame, items: DataFrame, least: int, share: float) -> DataFrame:
+    """Those of ``pairs`` that are linked; points travel once to each pair of groups of images in which they are needed."""
     groups = max(1, -(-items.count() // GROUP))
     group = lambda x: F.pmod(F.xxhash64(F.lit(7), x), F.lit(groups))
-    pairs = pairs.select(F.least(group("u"), group("v")).alias("g"), F.greatest(group("u"), group("v")).alias("h"), "u", "v")
+    pairs = materialise(pairs.select(F.least(group("u"), group("v")).alias("g"), F.greatest(group("u"), group("v")).alias("h"), "u", "v"), "proposed")
     needed = pairs.select("g", "h", F.explode(F.array("u", "v")).alias("id")).distinct().join(items, "id").select(F.col("g").alias("gp"), F.col("h").alias("hp"), "id", "points")
 
     def run(met: pa.Table, points: pa.Table) -> pa.Table:
         u, v = (met.column(x).to_numpy() for x in "uv")
         data = {i: np.frombuffer(p, POINT) for i, p in zip(points.column("id").to_pylist(), points.column("points").to_pylist())}
-        order = np.argsort(u, kind="stable")
-        u, v = u[order], v[order]
-        keep = np.zeros(len(u), bool)
-        starts = np.flatnonzero(np.r_[True, u[1:] != u[:-1]]) if len(u) else []
-        for a, b in zip(starts, [*starts[1:], len(u)]):
-            p = data[u[a]]
-            for lo in range(a, b, 1000):
-                others = [data[i] for i in v[lo : min(b, lo + 1000)]]
-                for k in np.flatnonzero(_near(p, others) >= least):
-                    keep[lo + k] = _linked(p, others[k], least, share)
+        keep = np.fromiter((linked(data[a], data[b], least, share) for a, b in zip(u.tolist(), v.tolist())), bool, len(u))
         return pa.table({"u": u[keep], "v": v[keep]})
 
-    return pairs.groupBy("g", "h").cogroup(needed.groupBy("gp", "hp")).applyInArrow(run, "u long, v long")
+    return materialise(pairs.groupBy("g", "h").cogroup(needed.groupBy("gp", "hp")).applyInArrow(run, "u long, v long"), "verified")
 
 
-def image_copies(images: DataFrame, most: int = 16, least: int = 4, share: float = 0.4) -> DataFrame:
-    """One row per row of ``images (id long, image binary)``: id, n_points, n_links, component_id, kept.
+def image_copies(images: DataFrame, least: int = 5, share: float = 0.3) -> DataFrame:
+    """One row per row of ``images (id long, image binary)``: id, n_points, component_id, kept.
 
-    Images are linked whose keypoints agree on one transform, ``least`` of them
-    and ``share`` of the fewer ones at least. ``n_links`` counts the verified
-    links of the row's class, ``component_id`` is the smallest id reachable,
-    ``kept`` says that it is the row's own. Equal bytes are one class. A null
-    image, one that cannot be decoded and one without corners are linked only
-    with equal bytes, null with nothing. A null id has a null component and is
-    kept; repeated ids share what their classes have. Other columns are not read.
+    Images are linked whose corners agree on one transform, ``least`` of them
+    and ``share`` of those where the images overlap at least; ``component_id``
+    is the smallest id reachable, ``kept`` says that it is the row's own. All
+    corners of an image are used. Equal bytes are one class. A null image, one
+    that cannot be decoded (JPEG, 16-bit, palette and interlaced files too) and one
+    without corners are linked only with equal bytes, null with nothing. A null
+    id has a null component and is kept; repeated ids share what their classes
+    have. Other columns are not read.
     """
-    rows = materialise(descriptors(images.select("id", "image"), most), "descriptors")
+    rows = materialise(descriptors(images.select("id", "image")), "descriptors")
     named = materialise(images.select("id", F.col("image").isNull().alias("none")).where("none and id is not null").select("id").distinct(), "null-images")
     usable = rows.join(named, "id", "left_anti").where("id is not null")
     reps = materialise(usable.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.first("points").alias("points")), "classes")
     items = reps.select("id", "points")
-    pairs = materialise(_met(_entries(items)), "met")
-    every = materialise(_verified(pairs, items, least, share), "verified")
-    comp = materialise(components(every), "components")
-    degree = every.select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    by_class = reps.select("k1", "k2", F.col("id").alias("rep")).join(comp.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
-    by_class = by_class.select("k1", "k2", F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = usable.join(by_class, ["k1", "k2"]).select("id", "n_points", "n_links", "component_id")
-    alone = rows.join(named, "id", "left_semi").union(rows.where("id is null")).select("id", "n_points", F.lit(0).cast("long"), "id")
+    crowded = materialise(_entries(items).groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "crowded")
+    met = materialise(possibly_in(_entries(items), crowded, "bucket").join(crowded, "bucket"), "met")
+    links = _verified(_led(met), items, least, share)
+    more = _verified(_unled(met, materialise(components(links), "components")), items, least, share)
+    comp = materialise(components(links.union(more)), "components")
+    by_class = reps.select("k1", "k2", F.col("id").alias("rep")).join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
+    out = usable.join(by_class, ["k1", "k2"]).select("id", "n_points", "component_id")
+    alone = rows.join(named, "id", "left_semi").union(rows.where("id is null")).select("id", "n_points", "id")
     return out.union(alone).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))

@@ -127,12 +127,13 @@ def test_chat(spark):
 
 
 def test_media(spark):
-    rows = [(1, None), (2, None), (3, b""), (4, b"junk"), (4, b"junk"), (5, b"P5 0 0 255\n"), (None, b"junk")]
-    images = spark.createDataFrame([(i, bytearray(d) if d is not None else None) for i, d in rows], "id long, image binary").withColumn("points", F.lit("x"))
+    rows = [(1, None), (2, None), (3, b""), (4, b"junk"), (4, b"junk"), (5, b"P5 0 0 255\n"), (None, b"junk"), (6, b"\x89PNG\r\n\x1a\n"), (7, b"P5 300 300 255\n" + bytes(90_000)), (8, b"P5 900 2 255\n" + bytes(1800))]
+    images = spark.createDataFrame([(i, bytearray(d) if d is not None else None) for i, d in rows], "id long, image binary").withColumns({c: F.lit("x") for c in ("points", "bucket", "u", "v", "d1", "comp")})
     out = sorted(media.image_copies(images).collect(), key=str)
-    assert len(out) == len(rows) and all(r.n_links == 0 and r.kept for r in out)
+    assert len(out) == len(rows) and all(r.n_points == 0 and r.kept for r in out)
     assert media.image_copies(images.limit(0)).count() == 0
-    assert media.tiles(spark.createDataFrame([(1, None), (2, []), (3, [1.0])], "id long, v array<double>")).where("image is null").count() == 2
+    drawn = {r.id: r.image for r in media.pictures(spark.createDataFrame([(1, None), (2, []), (3, [1.0]), (4, [None, float("nan")]), (None, [1.0, 2.0])], "id long, v array<double>")).collect()}
+    assert drawn[2] is None and drawn[4] is None and drawn[6] and drawn[8] and drawn[None]
 
 
 def test_pipeline_stages(spark, docs, labels, benchmark, tmp_path):

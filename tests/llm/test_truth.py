@@ -325,22 +325,63 @@ def test_image_copies(spark):
     for k in range(8):
         rng = np.random.default_rng(k)
         x = media._smooth(np.kron(rng.uniform(0, 255, (12, 12)), np.ones((8, 8))))
-        for edit in (x, x[8:88, 10:92], x + rng.normal(0, 3, x.shape), np.rot90(x), x * 0.8 + 20, x):
+        for edit in (x, x[8:88, 10:92], x + rng.normal(0, 3, x.shape), np.rot90(x), x * 0.8 + 20, media.resize(x, 0.8), x[:, :70], x):
             truth[len(rows)] = k
             rows.append((len(rows), bytearray(pgm(edit))))
-    got = {r.id: r.component_id for r in media.image_copies(spark.createDataFrame(rows, "id long, image binary"), most=32).collect()}
+    got = {r.id: r.component_id for r in media.image_copies(spark.createDataFrame(rows, "id long, image binary")).collect()}
     assert all(truth[i] == truth[c] for i, c in got.items())
-    assert sum(got[i] == got[j] for i in got for j in got if truth[i] == truth[j]) / (8 * 36) >= 0.9
+    assert sum(got[i] == got[j] for i in got for j in got if truth[i] == truth[j]) / (8 * 64) >= 0.9
+
+
+def test_image_copies_against_all_pairs(spark):
+    """The registered query against the comparison of all pairs: every link is in one component, and nothing else is."""
+    from cipherlake.llm import queries
+
+    got = {r.id: r.component_id for r in queries.op10_image_copies(spark, SF).collect()}
+    vectors = spark.read.parquet(f"{SF}/embeddings.parquet").selectExpr("CAST(vec_id AS BIGINT) AS id", "embedding")
+    data = {r.id: bytes(r.image) for r in media.pictures(vectors).collect()}
+    ids = sorted(data)
+    points = dict(zip(ids, media.keypoints([media.decode(data[i]) for i in ids])))
+    links = [(a, b) for k, a in enumerate(ids) for b in ids[:k] if data[a] == data[b] or media.linked(points[a], points[b], 5, 0.3)]
+    edited = [i for i in ids if i % 2]
+    assert len(edited) > 50 and sum((i, i - 1) in set(links) for i in edited) >= 0.9 * len(edited)
+    truth = brute_components({i: {frozenset((i, j)) for j in [b for a, b in links if a == i] + [a for a, b in links if b == i]} for i in ids}, 0)
+    assert sum(got[a] == got[b] for a, b in links) >= 0.9 * len(links)
+    assert all(truth[i] == truth[c] for i, c in got.items())
+
+
+def test_image_group_of_many_edited_copies(spark, monkeypatch):
+    """Members of crowded entries end in one component, and a second group in the same entries in its own; groups of any size are verified alike."""
+    def noisy(seed, n):
+        x = media._smooth(np.kron(np.random.default_rng(seed).uniform(0, 255, (12, 12)), np.ones((8, 8))))
+        return [pgm(x + np.random.default_rng(k).normal(0, 1, x.shape)) for k in range(n)]
 
+    images = noisy(1, 40) + noisy(2, 5)
+    frame = spark.createDataFrame([(i, bytearray(d)) for i, d in enumerate(images)], "id long, image binary")
+    for size in (media.GROUP, 7):
+        monkeypatch.setattr(media, "GROUP", size)
+        assert {r.id: r.component_id for r in media.image_copies(frame).collect()} == {i: 0 if i < 40 else 40 for i in range(45)}
 
-def test_image_links_are_counted_whole(spark):
-    """Every link of a group of edited copies is counted, though all its members share their table entries."""
-    x = media._smooth(np.kron(np.random.default_rng(1).uniform(0, 255, (12, 12)), np.ones((8, 8))))
-    images = [pgm(x + np.random.default_rng(k).normal(0, 0.3, x.shape)) for k in range(40)]
-    points = [media.keypoints(media.decode(d), 16) for d in images]
-    links = [sum(media._linked(p, q, 4, 0.4) for j, q in enumerate(points) if j != i) for i, p in enumerate(points)]
-    out = media.image_copies(spark.createDataFrame([(i, bytearray(d)) for i, d in enumerate(images)], "id long, image binary")).collect()
-    assert min(links) == 39 and {r.id: r.n_links for r in out} == dict(enumerate(links))
+
+def test_image_matches_are_mutual_nearest():
+    """The chunked search against a plain one, ties to the first."""
+    rng = np.random.default_rng(0)
+    p, q = np.zeros(600, media.POINT), np.zeros(500, media.POINT)
+    p["d"] = rng.integers(0, 256, p["d"].shape)
+    q["d"][:300] = p["d"][100:400] ^ (rng.random((300, 16)) < 0.2)
+    q["d"][300:] = q["d"][:200]
+    gap = np.unpackbits(p["d"][:, None] ^ q["d"][None], axis=-1).sum(-1)
+    truth = [(i, int(gap[i].argmin())) for i in range(600) if gap[i].min() <= media.MOST_BITS and gap[:, gap[i].argmin()].argmin() == i]
+    assert list(zip(*(x.tolist() for x in media.matches(p, q)))) == truth and len(truth) > 250
+
+
+def test_image_tables_meet_near_descriptors():
+    """The stated chance that two of five matches at the full distance are met."""
+    rng, met = np.random.default_rng(3), []
+    for _ in range(400):
+        flips = np.stack([np.isin(np.arange(media.BITS), rng.permutation(media.BITS)[: media.MOST_BITS]) for _ in range(5)])
+        met.append(sum(any(not f[s].any() for s in media.SAMPLES) for f in flips) >= media.HITS)
+    assert np.mean(met) > 0.94
 
 
 def test_png():
