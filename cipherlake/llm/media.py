@@ -1,14 +1,14 @@
 """Copies among images, cropped or edited ones too, by local descriptors.
 
 Corners (Harris response, several scales) get an orientation from the intensity
-centroid of their surroundings and 128 binary tests turned by it. Sixteen tables
-sample 28 of the 128 bits each: a descriptor 10 bits away is met in one table
-with probability 0.07, in some table with 0.70. Images that meet in two descriptors at most
+centroid of their surroundings and 128 binary tests turned by it. Twelve tables
+sample 40 of the 128 bits each: a descriptor 6 bits away is met in one table with
+probability 0.10, in some table with 0.71. Images that meet in two descriptors at most
 ``MOST_BITS`` apart are compared whole: nearest descriptors by Hamming distance
 must agree on one similarity transform (scale, rotation, shift), for a share of
 the corners where the images overlap.
 
-Recall. Of a link's five matches or more, each at the full distance of 10 bits,
+Recall. Of a link's five matches or more, each at the full distance of 6 bits,
 two are met with probability 0.97; closer or more matches raise it.
 
 Scale. Images with equal bytes are one class before anything else. Table entries
@@ -34,7 +34,7 @@ from cipherlake.llm.common import components, parts, possibly_in
 
 SCALES = (1.0, 1.25, 1.5625)
 RADIUS, BITS, ANGLES = 10, 128, 32
-TABLES, SAMPLED, MOST_BITS = 16, 28, 10
+TABLES, SAMPLED, MOST_BITS = 12, 40, 6
 #: Descriptors at most ``MOST_BITS`` apart that two images need to be compared.
 HITS = 2
 #: Images of a group, about; pairs of groups are verified together.
@@ -316,7 +316,9 @@ def _entries(reps: DataFrame) -> DataFrame:
             ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(p) for p in data])
             bits, words = np.unpackbits(points["d"], axis=1), _words(points).view(np.int64)
             for t, places in enumerate(SAMPLES):
-                key = np.ascontiguousarray(np.packbits(bits[:, places], axis=1)).view(">u4")[:, 0].astype(np.int64) + (t << 32)
+                packed = np.zeros((len(bits), 8), np.uint8)
+                packed[:, 0], packed[:, 1 : 1 + SAMPLED // 8] = t, np.packbits(bits[:, places], axis=1)
+                key = packed.view("<i8")[:, 0]
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids, pa.int64()), pa.array(words[:, 0]), pa.array(words[:, 1])], ["bucket", "id", "d1", "d2"])
 
     return reps.select("id", "points").mapInArrow(run, "bucket long, id long, d1 long, d2 long")
