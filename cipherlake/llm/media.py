@@ -3,8 +3,7 @@
 Corners (Harris response, several scales) get an orientation from the intensity
 centroid of their surroundings and 128 binary tests turned by it. Twelve tables
 sample 40 of the 128 bits each: a descriptor 6 bits away is met in one table with
-probability 0.10, in some table with 0.71. Images that meet in two descriptors at most
-``MOST_BITS`` apart are compared whole: nearest descriptors by Hamming distance
+probability 0.10, in some table with 0.71. Images that meet in two descriptors are compared whole: nearest descriptors by Hamming distance
 must agree on one similarity transform (scale, rotation, shift), for a share of
 the corners where the images overlap.
 
@@ -13,7 +12,7 @@ two are met with probability 0.97; closer or more matches raise it.
 
 Scale. Images with equal bytes are one class before anything else. Table entries
 that nothing shares are dropped by a count of keys alone. The members of an entry
-are compared with one leader, that with most shared entries, so a group of
+are compared with one leader, the smallest id, so a group of
 edited copies costs its size and not its square. Entries whose members are in
 several components afterwards are finished exactly: their members outside the
 largest component are compared with all others of another component.
@@ -35,7 +34,7 @@ from cipherlake.llm.common import components, parts, possibly_in
 SCALES = (1.0, 1.25, 1.5625)
 RADIUS, BITS, ANGLES = 10, 128, 32
 TABLES, SAMPLED, MOST_BITS = 12, 40, 6
-#: Descriptors at most ``MOST_BITS`` apart that two images need to be compared.
+#: Descriptors of an image that meet some of another, for the two to be compared.
 HITS = 2
 #: Images of a group, about; pairs of groups are verified together.
 GROUP = 8192
@@ -305,45 +304,38 @@ def descriptors(images: DataFrame) -> DataFrame:
 
 
 def _entries(reps: DataFrame) -> DataFrame:
-    """(bucket, id, d1, d2): the table entries of every descriptor; a bucket is a table and its sampled bits."""
+    """(bucket, id, p): the table entries of every descriptor; a bucket is a table and its sampled bits, p the place of the descriptor."""
 
     def run(batches):
         for batch in parts(batches, 500):
             data = [np.frombuffer(p, POINT) for p in batch.column(1).to_pylist()]
             if not sum(map(len, data)):
                 continue
-            points = np.concatenate(data)
-            ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(p) for p in data])
-            bits, words = np.unpackbits(points["d"], axis=1), _words(points).view(np.int64)
-            for t, places in enumerate(SAMPLES):
+            ids = pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(p) for p in data]), pa.int64())
+            place = pa.array(np.concatenate([np.arange(len(p), dtype=np.int32) for p in data]))
+            bits = np.unpackbits(np.concatenate(data)["d"], axis=1)
+            for t, sample in enumerate(SAMPLES):
                 packed = np.zeros((len(bits), 8), np.uint8)
-                packed[:, 0], packed[:, 1 : 1 + SAMPLED // 8] = t, np.packbits(bits[:, places], axis=1)
-                key = packed.view("<i8")[:, 0]
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids, pa.int64()), pa.array(words[:, 0]), pa.array(words[:, 1])], ["bucket", "id", "d1", "d2"])
+                packed[:, 0], packed[:, 1 : 1 + SAMPLED // 8] = t, np.packbits(bits[:, sample], axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(packed.view("<i8")[:, 0]), ids, place], ["bucket", "id", "p"])
 
-    return reps.select("id", "points").mapInArrow(run, "bucket long, id long, d1 long, d2 long")
-
-
-def _close(a: str, b: str):
-    """Descriptors of two sides at most ``MOST_BITS`` apart."""
-    return F.bit_count(F.col(f"{a}.d1").bitwiseXOR(F.col(f"{b}.d1"))) + F.bit_count(F.col(f"{a}.d2").bitwiseXOR(F.col(f"{b}.d2"))) <= MOST_BITS
+    return reps.select("id", "points").mapInArrow(run, "bucket long, id long, p int")
 
 
 def _proposed(met: DataFrame) -> DataFrame:
-    """(u, v) of rows (u, v, d1, d2), descriptors of v that are near one of u: pairs with ``HITS`` different ones."""
+    """(u, v) of rows (u, v, p), descriptors of v that met one of u: pairs with ``HITS`` different ones."""
     return met.distinct().groupBy("u", "v").agg(F.count("*").alias("n")).where(F.col("n") >= HITS).select("u", "v")
 
 
 def _led(met: DataFrame) -> DataFrame:
-    """(u, v): members of an entry with its leader, the member with most entries."""
-    mass = met.groupBy("id").agg(F.count("*").alias("mass"))
-    lead = met.join(mass, "id").groupBy("bucket").agg(F.max(F.struct("mass", "id", "d1", "d2")).alias("top")).select("bucket", "top.*").drop("mass")
-    return _proposed(met.alias("m").join(lead.alias("l"), "bucket").where((F.col("m.id") != F.col("l.id")) & _close("m", "l")).select(F.col("l.id").alias("u"), F.col("m.id").alias("v"), F.col("m.d1"), F.col("m.d2")))
+    """(u, v): members of an entry with its leader, the smallest id."""
+    lead = met.groupBy("bucket").agg(F.min("id").alias("u"), F.max("id").alias("top")).where("u <> top").select("bucket", "u")
+    return _proposed(met.join(lead, "bucket").where("id <> u").select("u", F.col("id").alias("v"), "p"))
 
 
 def _unled(met: DataFrame, comp: DataFrame) -> DataFrame:
     """(u, v): what leaders have not joined, members of an entry in different components; those of its largest one not with each other."""
-    placed = met.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+    placed = met.join(comp.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", "p", F.coalesce("component", "id").alias("comp"))
     sizes = placed.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
     whole = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("comps"), F.max(F.struct("n", "comp")).alias("top"))
     # of two members one led
@@ -351,7 +343,7 @@ def _unled(met: DataFrame, comp: DataFrame) -> DataFrame:
     placed = materialise(placed.join(open_, "bucket"), "open")
     a, b = placed.where("comp <> main").alias("a"), placed.alias("b")
     apart = (F.col("a.comp") != F.col("b.comp")) & ((F.col("b.comp") == F.col("b.main")) | (F.col("a.id") < F.col("b.id")))
-    return _proposed(a.join(b, "bucket").where(apart & _close("a", "b")).select(F.col("a.id").alias("u"), F.col("b.id").alias("v"), F.col("b.d1"), F.col("b.d2")))
+    return _proposed(a.join(b, "bucket").where(apart).select(F.col("a.id").alias("u"), F.col("b.id").alias("v"), F.col("b.p")))
 
 
 def _verified(pairs: DataFrame, items: DataFrame, least: int, share: float) -> DataFrame:
@@ -388,7 +380,8 @@ def image_copies(images: DataFrame, least: int = 5, share: float = 0.3) -> DataF
     reps = materialise(usable.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.first("points").alias("points")), "classes")
     items = reps.select("id", "points")
     crowded = materialise(_entries(items).groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "crowded")
-    met = materialise(possibly_in(_entries(items), crowded, "bucket").join(crowded, "bucket"), "met")
+    # entries that are alone and pass the filter propose nothing
+    met = materialise(possibly_in(_entries(items), crowded, "bucket"), "met")
     links = _verified(_led(met), items, least, share)
     more = _verified(_unled(met, materialise(components(links), "components")), items, least, share)
     comp = materialise(components(links.union(more)), "components")
