@@ -1,14 +1,14 @@
 """Copies among images, cropped or edited ones too, by local descriptors.
 
 Corners (Harris response, several scales) get an orientation from the intensity
-centroid of their surroundings and 128 binary tests turned by it. Twelve tables
+centroid of their surroundings and 128 binary tests turned by it. Nine tables
 sample 40 of the 128 bits each: a descriptor 6 bits away is met in one table with
-probability 0.10, in some table with 0.71. Images that meet in two descriptors are compared whole: nearest descriptors by Hamming distance
-must agree on one similarity transform (scale, rotation, shift), for a share of
+probability 0.10, in some table with 0.61. Images that meet in two descriptors
+are compared whole: nearest descriptors by Hamming distance must agree on one similarity transform (scale, rotation, shift), for a share of
 the corners where the images overlap.
 
 Recall. Of a link's five matches or more, each at the full distance of 6 bits,
-two are met with probability 0.97; closer or more matches raise it.
+two are met with probability 0.92; closer or more matches raise it.
 
 Scale. Images with equal bytes are one class before anything else. Table entries
 that nothing shares are dropped by a count of keys alone. The members of an entry
@@ -33,7 +33,7 @@ from cipherlake.llm.common import components, parts, possibly_in
 
 SCALES = (1.0, 1.25, 1.5625)
 RADIUS, BITS, ANGLES = 10, 128, 32
-TABLES, SAMPLED, MOST_BITS = 12, 40, 6
+TABLES, SAMPLED, MOST_BITS = 9, 40, 6
 #: Descriptors of an image that meet some of another, for the two to be compared.
 HITS = 2
 #: Images of a group, about; pairs of groups are verified together.

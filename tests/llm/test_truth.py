@@ -381,7 +381,7 @@ def test_image_tables_meet_near_descriptors():
     for _ in range(400):
         flips = np.stack([np.isin(np.arange(media.BITS), rng.permutation(media.BITS)[: media.MOST_BITS]) for _ in range(5)])
         met.append(sum(any(not f[s].any() for s in media.SAMPLES) for f in flips) >= media.HITS)
-    assert np.mean(met) > 0.94
+    assert np.mean(met) >= 0.9
 
 
 def test_png():
