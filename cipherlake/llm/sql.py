@@ -31,21 +31,19 @@ FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN component c
 
 OP6 = r"""
 WITH lines AS (
-  SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL
+  SELECT doc_id, regexp_extract_all(text, '(?:[\x20\x09\x0B-\x0D]*[^\x20\x09-\x0D]+){1,25}[\x20\x09\x0B-\x0D]*\n?|[\x20\x09\x0B-\x0D]*\n|[\x20\x09\x0B-\x0D]+') AS ls FROM documents WHERE text IS NOT NULL
 ), places AS (
-  SELECT doc_id, ls, i AS pos FROM lines, unnest(range(0, len(ls))) AS r(i)
+  SELECT doc_id, i AS pos, ls[i + 1] AS line, regexp_replace(ls[i + 1], '[\x20\x09-\x0D]+$', '') AS x FROM lines, unnest(range(0, len(ls))) AS r(i)
+), threes AS (
+  SELECT doc_id, pos, x AS x1, lead(x, 1) OVER o AS x2, lead(x, 2) OVER o AS x3 FROM places WINDOW o AS (PARTITION BY doc_id ORDER BY pos)
 ), windows AS (
-  SELECT doc_id, pos, 3 AS size, '3' || chr(10) || array_to_string(list_slice(ls, pos + 1, pos + 3), chr(10)) AS w FROM places
-  WHERE pos + 3 <= len(ls) AND NOT (trim(ls[pos + 1], ' ' || chr(9) || chr(13)) = '' AND trim(ls[pos + 2], ' ' || chr(9) || chr(13)) = '' AND trim(ls[pos + 3], ' ' || chr(9) || chr(13)) = '')
-  UNION ALL
-  SELECT doc_id, pos, 1, '1' || chr(10) || ls[pos + 1] FROM places WHERE length(ls[pos + 1]) - length(replace(ls[pos + 1], ' ', '')) + 1 >= 50
+  SELECT doc_id, pos, x1 || chr(10) || x2 || chr(10) || x3 AS w FROM threes WHERE x3 IS NOT NULL AND x1 || x2 || x3 <> ''
 ), ranked AS (
   SELECT *, row_number() OVER o AS k, first_value(doc_id) OVER o AS first_doc, first_value(pos) OVER o AS first_pos FROM windows WINDOW o AS (PARTITION BY w ORDER BY doc_id, pos)
 ), covered AS (
-  SELECT DISTINCT doc_id, pos + j AS pos FROM ranked, unnest(range(0, size)) AS r(j) WHERE k > 1 AND (doc_id <> first_doc OR pos + j >= first_pos + size)
+  SELECT DISTINCT doc_id, pos + j AS pos FROM ranked, unnest(range(0, 3)) AS r(j) WHERE k > 1 AND (doc_id <> first_doc OR pos + j >= first_pos + 3)
 ), kept AS (
-  SELECT p.doc_id, count(*) AS n_lines, count(c.pos) AS n_removed,
-         string_agg(p.ls[p.pos + 1], chr(10) ORDER BY p.pos) FILTER (WHERE c.pos IS NULL) AS text
+  SELECT p.doc_id, count(*) AS n_lines, count(c.pos) AS n_removed, string_agg(p.line, '' ORDER BY p.pos) FILTER (WHERE c.pos IS NULL) AS text
   FROM places p LEFT JOIN covered c ON c.doc_id = p.doc_id AND c.pos = p.pos GROUP BY p.doc_id
 )
 SELECT d.doc_id, CAST(coalesce(k.n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed,
@@ -54,6 +52,7 @@ SELECT d.doc_id, CAST(coalesce(k.n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesc
 FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
 """
 
+
 def _level(name, keys, prior, rows):
     """Two relations: ``{name}_k``, the prior strength of a level by moments, and ``name``, its posterior means."""
     return f"""{name}_p AS (SELECT {keys}, sum(n) AS n, sum(bad) AS bad, {prior} AS prior FROM {rows} GROUP BY ALL),

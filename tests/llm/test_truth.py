@@ -89,22 +89,50 @@ def test_components(spark):
     assert got == {n: c for n, c in truth.items() if any(a != b for a, b in edges if n in (a, b))}
 
 
+def wrapped(text, most=25):
+    """Lines of at most ``most`` words, by single characters."""
+    out, now, words, inside = [], "", 0, False
+    for c in text:
+        blank = c in " \t\n\v\f\r"
+        if not blank and not inside:
+            if words == most:
+                out.append(now)
+                now, words = "", 0
+            words += 1
+        inside, now = not blank, now + c
+        if c == "\n":
+            out.append(now)
+            now, words = "", 0
+    return out + [now] * bool(now)
+
+
 def test_line_dedup(spark):
     rng = random.Random(2)
-    lines = ["a", "b", "c", "", " ", "long " * 60]
-    docs = [(i, "\n".join(rng.choices(lines, k=rng.randrange(1, 12)))) for i in range(60)]
+    lines = ["a", "b", "c", "", " ", "long " * 60, "x y\t", " ".join(f"w{k}" for k in range(51)), " ".join(f"v{k}" for k in range(30))]
+    docs = [(i, "\n".join(rng.choices(lines, k=rng.randrange(1, 12)))) for i in range(90)]
     first, covered = {}, defaultdict(set)
     for i, t in docs:
-        ls = t.split("\n")
-        for p in range(len(ls)):
-            found = [(3, tuple(ls[p : p + 3]))] if p + 3 <= len(ls) and any(x.strip() for x in ls[p : p + 3]) else []
-            found += [(1, ls[p])] if ls[p].count(" ") + 1 >= 50 else []
-            for n, w in found:
-                f = first.setdefault((n, w), (i, p))
-                covered[i] |= {k for k in range(p, p + n) if f != (i, p) and (f[0] != i or k >= f[1] + n)}
-    truth = {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in covered[i]) for i, t in docs}
+        ls = [x.rstrip() for x in wrapped(t)]
+        for p in range(len(ls) - 2):
+            w = tuple(ls[p : p + 3])
+            if any(w):
+                f = first.setdefault(w, (i, p))
+                covered[i] |= {k for k in range(p, p + 3) if f != (i, p) and (f[0] != i or k >= f[1] + 3)}
+    truth = {i: "".join(x for k, x in enumerate(wrapped(t)) if k not in covered[i]) for i, t in docs}
     out = line_dedup.drop_repeated_lines(spark.createDataFrame(docs, "doc_id long, text string"))
-    assert {r.doc_id: (r.text, r.n_removed) for r in out.collect()} == {i: (t, len(covered[i])) for i, t in truth.items()}
+    assert {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in out.collect()} == {i: (t, len(wrapped(docs[i][1])), len(covered[i])) for i, t in truth.items()}
+
+
+def test_line_dedup_finds_passages_of_over_50_words(spark):
+    """A passage of 51 words on a line of its own, or on two, goes from all but the first of otherwise different texts."""
+    rng = random.Random(4)
+    text = lambda n: " ".join(f"t{rng.randrange(10**6)}" for _ in range(n))
+    one, two = text(51), text(26) + "\n" + text(25) + " " + text(5)
+    docs = [(i, f"{text(30)}\n{one if i % 2 else two}\n{text(40)}") for i in range(10)]
+    out = {r.doc_id: r.text for r in line_dedup.drop_repeated_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i, t in docs:
+        own = t.split("\n")
+        assert out[i] == t if i < 2 else out[i].split("\n") == [own[0], own[-1]]
 
 
 def test_decontamination(spark):
@@ -412,7 +440,7 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     text = lambda n: "\n".join(" ".join(f"t{rng.randrange(5000)}" for _ in range(12)) for _ in range(n))
     clean = {i: text(8) for i in range(200)}
     toxic = {1000 + i: text(3) + "\nyou utter moronix " + text(3) + " moronix" for i in range(60)}
-    short = {500 + i: "\n".join(" ".join(f"t{rng.randrange(5000)}" for _ in range(40)) for _ in range(2)) for i in range(10)}
+    short = {500 + i: "\n".join(" ".join(f"t{rng.randrange(5000)}" for _ in range(20)) for _ in range(2)) for i in range(10)}
     clean |= short
     near = {1500 + i: "changed " + t.split(" ", 1)[1] for i, t in short.items()}
     item = " ".join(f"bench{k}" for k in range(15))
