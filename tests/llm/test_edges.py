@@ -105,10 +105,19 @@ def test_classifiers(docs, clashing, labels, operator):
 def test_secrets(docs, clashing):
     for df in (docs, clashing):
         out = {r.doc_id: r for r in secret_scan.scan(df, generated=200).collect()}
-        assert out[2].spans == out[3].spans == "" and out[2].n_hex == 0
+        assert out[2].spans == out[3].spans == "" and out[2].n_hex == 0 and len(out) == len({r[0] for r in ROWS})
     assert secret_scan.scan(docs.limit(0), generated=200).count() == 0
 
 
+def test_secrets_longer_than_a_window(spark):
+    """A long token is one span; very many patterns and candidates of one text take one pass."""
+    token = "aB3dE5gH7jK9" * 40
+    many = " ".join(f"deadbeef{k:08x}/Zx81kQv0Lm3nB7" for k in range(3000))
+    docs = spark.createDataFrame([(1, f"x {token} y"), (2, many), (3, None)], "doc_id long, text string")
+    out = {r.doc_id: r for r in secret_scan.scan(docs, generated=800).collect()}
+    assert out[1].spans == f"network:2:{2 + len(token)}" and out[2].n_hex == 3000 and out[3].n_confirmed == 0
+
+
 def test_urls(spark, labels):
     pages = spark.createDataFrame([(1, None, "x"), (2, "no scheme", "x"), (3, "http://", "x"), (4, "HTTPS://WWW.Example.COM?q#f", "x"), (4, "HTTPS://WWW.Example.COM?q#f", "x"), (5, "http://a.example.com/en/7/x", "x"), (None, "http://x.net/en/3", "x")], "page_id long, url string, rule string").withColumn("host", F.lit(1))
     out = url_reputation.judge(pages, labels).collect()

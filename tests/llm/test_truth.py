@@ -246,6 +246,73 @@ def test_secrets_beside_patterns_are_scored(spark):
     assert out.n_hex == 1 and out.spans == f"hex:15:31,network:{at}:{at + 41}"
 
 
+def plain_base(text):
+    found = [(m.start(), 0, m.end()) for m in secret_scan.ASSIGN.finditer(text) if len(m[2]) >= 12]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    return sorted(found + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16])
+
+
+def plain_score(net, text, a, b):
+    """The largest window score of one candidate, by a convolution over one-hot rows."""
+    codes = [0] * max(0, secret_scan.BEFORE - a) + [int(c) for c in secret_scan.encode(text[max(0, a - secret_scan.BEFORE) : b + secret_scan.AFTER])]
+    best, at = 0.0, 0
+    while True:
+        w = (codes[at : at + secret_scan.WINDOW] + [0] * secret_scan.WINDOW)[: secret_scan.WINDOW]
+        hot = np.eye(secret_scan.CODES)[w]
+        z = np.array([sum(hot[i + k] @ net.kernel[k] for k in range(secret_scan.WIDTH)) + net.bias for i in range(len(w) - secret_scan.WIDTH + 1)]).clip(0)
+        margin = np.concatenate([z.max(0), z.mean(0)]) @ net.dense + net.start[0]
+        best, at = max(best, 1 / (1 + np.exp(-(net.scale * margin + net.shift)))), at + secret_scan.STRIDE
+        if at >= len(codes) - secret_scan.WINDOW + secret_scan.STRIDE:
+            return best
+
+
+def test_secret_scan_against_plain_search(spark, texts):
+    """The query's columns on whole texts: patterns one by one, every free piece of every run scored by itself."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    out = {r.doc_id: r for r in secret_scan.scan(docs).collect()}
+    net = secret_scan.train(docs)
+    digest = lambda spans: ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in spans)
+    for r in docs.collect():
+        text = r.text or ""
+        base = plain_base(text)
+        free = [c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-" for c in text]
+        runs = [m.span() for m in re.finditer("1{12,}", "".join("1" if f else " " for f in free))]
+        for a, _, b in base:
+            free[a:b] = [False] * (b - a)
+        inside = lambda m: any(a <= m.start() and m.end() <= b for a, b in runs)
+        left = [m.span() for m in re.finditer("1{12,}", "".join("1" if f else " " for f in free)) if inside(m)]
+        scored = [(a, b, plain_score(net, text, a, b)) for a, b in left]
+        got = out[r.doc_id]
+        assert all(abs(s - net.threshold) > 1e-9 for _, _, s in scored)
+        spans = sorted(base + [(a, 3, b) for a, b, s in scored if s >= net.threshold])
+        assert got.base_sha256 == hashlib.sha256(digest(base).encode()).hexdigest() and got.spans == digest(spans)
+        assert [got.n_assign, got.n_access, got.n_hex] == [sum(k == i for _, k, _ in base) for i in range(3)]
+        assert got.n_confirmed == sum(plain_score(net, text, a, b) >= net.threshold for a, _, b in base)
+
+
+def test_secret_patterns_on_whole_texts(texts):
+    assert all(secret_scan.base_spans(t or "") == plain_base(t or "") for t in texts.values())
+
+
+def test_secrets_planted_in_the_corpus_are_found(spark, texts):
+    """Tokens that training has not seen, between words of real texts: nine in ten are found, and few documents without any are marked."""
+    rng, rows, truth = random.Random(7), [], {}
+    planted = [(t, a, b) for t, a, b, y in secret_scan.labelled_findings(400, 99) if y == 1]
+    for i, t in list(texts.items())[:400]:
+        cut = [m.start() for m in re.finditer(" ", t or "")]
+        if cut and planted and i % 2:
+            token = planted[0][0][slice(*planted.pop(0)[1:])]
+            at = rng.choice(cut) + 1
+            truth[i] = (at, at + len(token))
+            t = t[:at] + token + " " + t[at:]
+        rows.append((i, t))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: [(int(a), int(b)) for _, a, b in (x.split(":") for x in r.spans.split(",") if x)] for r in secret_scan.scan(docs).collect()}
+    hit = [any(a < e and s < b for a, b in found[i]) for i, (s, e) in truth.items()]
+    new = {r.doc_id: "network" in r.spans for r in secret_scan.scan(docs).collect()}
+    assert len(hit) > 100 and np.mean(hit) >= 0.9 and np.mean([new[i] for i in new if i not in truth]) < 0.1
+
+
 def test_secret_threshold_keeps_the_demanded_recall():
     """Among very many harmless look-alikes, where calibrated scores of secrets stay far below 0.5."""
     rng = np.random.default_rng(0)
