@@ -69,14 +69,15 @@ def labelled_sample(spark, docs, labels, label, per_class, seed=11):
     Rows come in the order of a hash of their id, so the sample does not depend
     on partitioning; ids are chosen on the narrow ``labels`` table, and at most
     ``2 * per_class`` of them are broadcast to fetch their texts. Rows of the
-    evaluation fold, and rows with a null id or label, are never used.
+    evaluation fold, and rows with a null id or label, are never used. Rows that
+    repeat an id count once, and an id labelled both ways is left out.
     """
-    usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col(label).alias("label"))
+    usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min(label).alias("label"), F.max(label).alias("most")).where("label = most").drop("most")
     picked = None
     for value in (0, 1):
         part = usable.where(F.col("label") == value).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
-    rows = picked.dropDuplicates(["doc_id"]).collect()
+    rows = picked.collect()
     if not rows:
         return docs.select("doc_id", "text", F.lit(0).alias("label")).limit(0)
     ids = spark.createDataFrame(rows, "doc_id long, label int")

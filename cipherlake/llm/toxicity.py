@@ -1,11 +1,14 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
 Words become symbols of five classes: insult, threat, target, negation and
-reported speech. A clause is read by one transducer that composes the five: its
-state says whether a target has been named, whether a negation is near and
-whether the clause reports someone; an insult or threat emits its weight, times
-what the state it meets is worth, and waits for a target that may follow. A
-text is judged by its matched clauses. The insults are learned: words, and stems
+reported speech. Each class has a transducer, written as a table of arcs; all
+read the same symbols, and on an insult or a threat each says what the word's
+weight is worth in its state. ``compose`` makes one transducer of the five, whose
+states are tuples of theirs and whose factors are products. It may have several
+arcs for a symbol (an insult may wait for the target that follows); a clause's
+weight is that of its best accepted path.
+
+A text is judged by its matched clauses. The insults are learned: words, and stems
 of several lengths that stand for words not met before, whose presence goes with
 the label by a likelihood-ratio test and that a greedy cover of the positive
 texts needs; the closed classes are word lists. A
@@ -18,6 +21,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from dataclasses import dataclass
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -37,30 +42,97 @@ REPORT = frozenset("said says say told tells wrote writes called calls quoted re
 FEATURES = 6
 
 
+SYMBOLS = ("insult", "threat", "target", "negation", "report", "other")
+WEIGHED = ("insult", "threat")
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """Arcs (state, symbol, next state, factor); a symbol without an arc stays and is worth 1. Paths end in ``final``."""
+
+    start: object
+    final: frozenset
+    arcs: tuple
+
+    def step(self, state, symbol: str) -> list[tuple]:
+        return [(to, factor) for at, by, to, factor in self.arcs if at == state and by == symbol] or [(state, 1.0)]
+
+
+#: What follows an insult in its clause weighs more.
+INSULTING = Transducer("calm", frozenset({"calm", "heated"}), (("calm", "insult", "heated", 1.0), ("heated", "insult", "heated", 1.1)))
+#: A threat is worth little unless someone is named in the clause, before or after it.
+THREATENING = Transducer(
+    "idle",
+    frozenset({"idle", "aimed"}),
+    (("idle", "threat", "idle", 0.2), ("idle", "threat", "pending", 1.0), ("idle", "target", "aimed", 1.0), ("pending", "threat", "pending", 1.0), ("pending", "target", "aimed", 1.0)),
+)
+#: An insult with a target in the clause, before or after it, is worth half as much again.
+TARGETING = Transducer(
+    "none",
+    frozenset({"none", "named"}),
+    (("none", "insult", "none", 1.0), ("none", "insult", "pending", 1.5), ("none", "target", "named", 1.0), ("pending", "insult", "pending", 1.5), ("pending", "target", "named", 1.0), ("named", "insult", "named", 1.5)),
+)
+#: A negation halves what comes within three words.
+NEGATING = Transducer(
+    0,
+    frozenset(range(4)),
+    (*[(k, "negation", 3, 1.0) for k in range(4)], *[(k, s, k - 1, 0.5 if s in WEIGHED else 1.0) for k in (1, 2, 3) for s in SYMBOLS if s != "negation"]),
+)
+#: What comes after a verb of saying in its clause may be someone else's.
+REPORTING = Transducer("own", frozenset({"own", "reported"}), (("own", "report", "reported", 1.0), *[("reported", s, "reported", 0.6) for s in WEIGHED]))
+MACHINES = (INSULTING, THREATENING, TARGETING, NEGATING, REPORTING)
+
+
+def compose(machines: tuple[Transducer, ...]) -> Transducer:
+    """One transducer over tuples of states, those that can be reached; factors are multiplied."""
+    start = tuple(m.start for m in machines)
+    arcs, known, todo = [], {start}, [start]
+    while todo:
+        state = todo.pop()
+        for symbol in SYMBOLS:
+            for steps in product(*[m.step(q, symbol) for m, q in zip(machines, state)]):
+                to = tuple(q for q, _ in steps)
+                arcs.append((state, symbol, to, math.prod(f for _, f in steps)))
+                if to not in known:
+                    known.add(to)
+                    todo.append(to)
+    return Transducer(start, frozenset(q for q in known if all(x in m.final for m, x in zip(machines, q))), tuple(arcs))
+
+
+class Reader:
+    """The composed grammar as arrays: for each state and symbol, the next states and their factors."""
+
+    def __init__(self, machine: Transducer):
+        number = {machine.start: 0}
+        for at, _, to, _ in machine.arcs:
+            number.setdefault(at, len(number))
+            number.setdefault(to, len(number))
+        self.arcs = {s: [[] for _ in number] for s in SYMBOLS}
+        for at, symbol, to, factor in machine.arcs:
+            self.arcs[symbol][number[at]].append((number[to], factor))
+        self.final = [q in machine.final for q in number]
+
+    def weight(self, symbols: list[tuple[str, float]]) -> float:
+        """The weight of the best accepted path over (symbol, weight)."""
+        best = {0: 0.0}
+        for symbol, weight in symbols:
+            table, new = self.arcs[symbol], {}
+            for state, so_far in best.items():
+                for to, factor in table[state]:
+                    worth = so_far + weight * factor
+                    if worth > new.get(to, -1.0):
+                        new[to] = worth
+            best = new
+        return max(w for q, w in best.items() if self.final[q])
+
+
+READER = Reader(compose(MACHINES))
+
+
 def clause_weight(symbols: list[tuple[str, float]]) -> tuple[float, int]:
-    """The transducer's output over one clause's symbols (class, weight): total weight and matched insults or threats."""
-    total, waiting, n = 0.0, 0.0, 0
-    target = report = False
-    negated = 0
-    for kind, weight in symbols:
-        if kind == "target":
-            target = True
-            total += 0.5 * waiting  # an insult before its target: "idiot you are"
-            waiting = 0.0
-        elif kind == "negation":
-            negated = 3
-            continue
-        elif kind == "report":
-            report = True
-        elif kind in ("insult", "threat"):
-            worth = weight * (0.5 if negated else 1.0) * (0.6 if report else 1.0) * (1.5 if target else 1.0)
-            if kind == "threat" and not target:
-                worth *= 0.2
-            total += worth
-            waiting = 0.0 if target else worth
-            n += 1
-        negated = max(0, negated - 1)
-    return total, n
+    """The grammar's output over one clause's symbols (class, weight): best weight and the number of insults and threats."""
+    n = sum(kind in WEIGHED for kind, _ in symbols)
+    return (READER.weight(symbols), n) if n else (0.0, 0)
 
 
 def stems_of(word: str) -> list[str]:

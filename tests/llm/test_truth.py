@@ -345,6 +345,105 @@ def test_toxicity_insults_beside_much_copied_texts(spark):
     assert sum(caught) == 40 and not any(r.predicted for r in out if r.doc_id >= 1000)
 
 
+def best_path(symbols):
+    """All paths of the five tables side by side, without composition: states of each, one symbol at a time."""
+    paths = [(tuple(m.start for m in toxicity.MACHINES), 0.0)]
+    for symbol, weight in symbols:
+        new = []
+        for states, total in paths:
+            ways = [[]]
+            for m, q in zip(toxicity.MACHINES, states):
+                arcs = [(to, f) for at, by, to, f in m.arcs if (at, by) == (q, symbol)] or [(q, 1.0)]
+                ways = [w + [arc] for w in ways for arc in arcs]
+            new += [(tuple(to for to, _ in w), total + weight * np.prod([f for _, f in w])) for w in ways]
+        paths = new
+    return max(t for states, t in paths if all(q in m.final for m, q in zip(toxicity.MACHINES, states)))
+
+
+def test_toxicity_composition_against_all_paths():
+    rng = random.Random(8)
+    for _ in range(300):
+        kinds = rng.choices(toxicity.SYMBOLS, (3, 2, 2, 2, 1, 3), k=rng.randrange(1, 8))
+        symbols = [(k, rng.uniform(1, 5) if k in toxicity.WEIGHED else 0.0) for k in kinds]
+        assert abs(toxicity.READER.weight(symbols) - best_path(symbols)) < 1e-9
+
+
+def test_toxicity_scores_against_plain_reading(spark, texts):
+    """The query's scores on whole texts: clauses, symbols and features by plain code and the best of all paths."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    out = {r.doc_id: r.score for r in toxicity.toxicity(docs, labels).collect()}
+    grammar, w = toxicity.train(docs, labels)
+    lists = {"threat": toxicity.THREAT, "target": toxicity.TARGET, "negation": toxicity.NEGATION, "report": toxicity.REPORT}
+
+    def symbol(word):
+        insult = grammar.words.get(word) or max((grammar.stems.get(word[:k], 0.0) for k in toxicity.STEMS if k < len(word)), default=0.0)
+        if insult:
+            return "insult", insult
+        kind = next((k for k, of in lists.items() if word in of), "negation" if word.endswith(("n't", "n’t")) else "other")
+        return kind, 2.0 if kind == "threat" else 0.0
+
+    for i, text in texts.items():
+        weights, n, words, distinct = [], 0, 0, set()
+        for clause in re.split(r"[.!?;:,\n]+", (text or "").lower()):
+            symbols = [(t, *symbol(t)) for t in re.findall(r"[^\W_]+(?:['’]t)?", clause)]
+            words += len(symbols)
+            hits = [t for t, k, _ in symbols if k in ("insult", "threat")]
+            if hits:
+                read = [(k, v) for _, k, v in symbols]
+                while len(read) > 40:  # all paths of a long clause are too many: words without a class beyond three in a row change nothing
+                    cut = next((j for j in range(len(read) - 3) if all(k == "other" for k, _ in read[j : j + 4])), None)
+                    if cut is None:
+                        break
+                    del read[cut]
+                weights.append(toxicity.READER.weight(read) if len(read) > 14 else best_path(read))
+                n += len(hits)
+                distinct |= {t for t, k, _ in symbols if k == "insult"}
+        x = [np.log1p(sum(weights)), min(max(weights, default=0), 20) / 5, np.log1p(len(weights)), np.log1p(n), n / np.log(2 + words), np.log1p(len(distinct))] if text else [0.0] * 6
+        assert abs(out[i] - 1 / (1 + np.exp(-(np.dot(x, w[:-1]) + w[-1])))) < 1e-9
+
+
+def test_labelled_sample_leaves_out_contradictions(spark):
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] * 2 + [(4, 1), (7, 0), (None, 1), (8, None)], "doc_id long, toxic int")
+    got = {r.doc_id: r.label for r in common.labelled_sample(spark, docs, labels, "toxic", 100).collect()}
+    assert got == {i: i % 2 for i in range(40) if i not in (4, 7) and not common.is_held_out(i)}
+    assert common.labelled_sample(spark, docs, labels, "toxic", 3).count() == 6
+
+
+def test_quality_trees_against_plain_walk():
+    """Gathers by level against one row at a time; the first split against the best of all splits; statistics recounted."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 4))
+    y = ((x[:, 1] > 0.3) ^ (x[:, 2] > 0)).astype(float)
+    trees = quality.grow(x, y, n_trees=5, depth=3, bins=500)
+    for row, margin in zip(x, trees.margin(x)):
+        total = trees.start
+        for feature, cut, leaf in zip(trees.feature, trees.cut, trees.leaf):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + 1 + int(row[feature[node]] > cut[node])
+            total += leaf[node - len(feature)]
+        assert abs(total - margin) < 1e-9
+    p = y.mean()
+    g, h = y - p, np.full(len(y), p * (1 - p))
+    gains = {}
+    for j in range(4):
+        for c in np.unique(x[:, j])[:-1]:
+            low = x[:, j] <= c
+            if min(h[low].sum(), h[~low].sum()) >= 4:
+                gains[j, c] = sum(g[s].sum() ** 2 / (h[s].sum() + 2) for s in (low, ~low)) - g.sum() ** 2 / (h.sum() + 2)
+    j, c = trees.feature[0, 0], trees.cut[0, 0]
+    low = x[:, j] <= c
+    mine = sum(g[s].sum() ** 2 / (h[s].sum() + 2) for s in (low, ~low)) - g.sum() ** 2 / (h.sum() + 2)
+    assert mine >= 0.98 * max(gains.values())
+    text = "Ab ab!  x|y http://q 12\n\nab, Z.\n"
+    f = dict(zip(quality.NAMES, quality.features(text)))
+    words = text.lower().split()
+    assert f["log_words"] == np.log(len(words)) and f["word_length"] == np.mean([len(w) for w in words]) and f["distinct_words"] == len(set(words)) / len(words)
+    assert f["adjacent_repeats"] == sum(a == b for a, b in zip(words, words[1:])) / (len(words) - 1) and f["digits"] == 2 / len(text) and f["upper"] == 2 / len(text)
+    assert f["links"] == 1 / len(words) and f["bars"] == 1 / len(words) and f["log_lines"] == np.log(2) and f["ends_with_stop"] == 0.5 and f["exclamations"] == 1 / len(words)
+
+
 def test_toxicity_grammar():
     weight = lambda *symbols: toxicity.clause_weight([(k, 2.0 if k in ("insult", "threat") else 0.0) for k in symbols])[0]
     assert weight("target", "insult") > weight("insult") > weight("negation", "insult") > 0
