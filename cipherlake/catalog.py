@@ -17,7 +17,7 @@ def _entries() -> dict[str, tuple]:
     return found
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+def flagship(spark: SparkSession) -> DataFrame:
     """De-duplicated findings of the sample source files: lines, noise filter, rule join, one finding per key."""
     from cipherlake.operators.detect import lines, match_text_rules
     from cipherlake.operators.relational import dedupe
