@@ -119,8 +119,8 @@ def open_blocks(met: DataFrame, comp: DataFrame, items: DataFrame) -> DataFrame:
 
     Members of a bucket's largest component need no comparison with each other,
     so only blocks with others meet every block. Buckets with the same members
-    are taken once. A block holds at most ``BLOCK`` members and about
-    ``BLOCK_WEIGHT`` of weight, so no group grows with the corpus.
+    are taken once. A block holds about ``BLOCK`` members or
+    ``BLOCK_WEIGHT`` of weight at most, by hash, so no group grows with the corpus.
     """
     placed = met.join(comp.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("comp"))
     sized = placed.join(items.groupBy("id").agg(F.max("weight").alias("weight")), "id")

@@ -10,17 +10,20 @@ the lengths bound what fits, and the whole run of words is then compared.
 
 Scale: documents are never shuffled. The benchmark is the stated query set: it
 goes to the executors in blocks of at most ``block_windows`` windows, each one
-pass over the documents, so neither side's size is assumed.
+pass over the documents whose hits are written before the next block is read, so
+the driver and a worker hold one block. The driver also holds the benchmark's
+vocabulary, which is counted over all documents once.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections import Counter
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from cipherlake.functions.storage import materialise
 from cipherlake.llm.common import strings
 
 #: Bytes that part words: ASCII other than letters and digits; A-Z become a-z.
@@ -45,7 +48,8 @@ def _blocks(benchmark: DataFrame, width: int, most: int):
             if len(block) >= most:
                 yield block
                 block = {}
-    yield block
+    if block:
+        yield block
 
 
 def token_counts(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int]:
@@ -96,8 +100,50 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _indexes(docs: DataFrame, benchmark: DataFrame, width: int, block_windows: int):
-    for block in _blocks(benchmark, width, block_windows):
-        yield docs.sparkSession.sparkContext.broadcast(prefix_index(block, token_counts(docs, {w for win in block for w in win}) if block else {}))
+    """(broadcast index, whether it is the last) of each block."""
+
+    def tokens(batches):
+        for batch in batches:
+            found = sorted({w for text in strings(batch.column(0)) for w in words(text)})
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["token"])
+
+    vocabulary = {bytes(r[0]) for r in benchmark.where("item_id is not null").select("text").mapInArrow(tokens, "token binary").distinct().toLocalIterator()}
+    counts = token_counts(docs, vocabulary) if vocabulary else {}
+    blocks = _blocks(benchmark, width, block_windows)
+    block = next(blocks, {})
+    while block is not None:
+        following = next(blocks, None)
+        yield docs.sparkSession.sparkContext.broadcast(prefix_index(block, counts)), not following
+        block = following or None
+
+
+def _hits(docs: DataFrame, index) -> DataFrame:
+    """(doc_id, th, n_words, starts, ends, items) of every row of ``docs (doc_id, th, text)`` against one block."""
+
+    def run(batches):
+        for batch in batches:
+            starts, ends, items, sizes = [], [], [], []
+            for text in strings(batch.column(2)):
+                tokens = words(text)
+                spans, of = find(tokens, index.value)
+                spans = merged(spans)
+                sizes.append(len(tokens)), starts.append([s for s, _ in spans]), ends.append([e for _, e in spans]), items.append(sorted(of))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], ["doc_id", "th", "n_words", "starts", "ends", "items"])
+
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, n_words long, starts array<int>, ends array<int>, items array<string>")
+
+
+def _merged_hits(parts: list[DataFrame]) -> DataFrame:
+    """Hits of several blocks, by document and text: the union of their spans and items."""
+    every = reduce(DataFrame.unionByName, parts).where(F.size("starts") > 0)
+    rows = every.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+
+    def run(batches):
+        for batch in batches:
+            spans = [merged(list(zip(s, e))) for s, e in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array([[x[k] for x in s] for s in spans], pa.list_(pa.int32())) for k in (0, 1)], batch.column(4)], ["doc_id", "th", "starts", "ends", "items"])
+
+    return rows.mapInArrow(run, rows.schema)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_windows: int = 200_000) -> DataFrame:
@@ -108,30 +154,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_
     no hits. Items with a null id, and items without words, are passed over;
     repeated items count once. Other columns are not read.
     """
-    steps = list(_indexes(docs, benchmark, width, block_windows))
-    kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, n_words long, starts array<int>, ends array<int>, items array<string>"
-    none = F.array()
-    found = docs.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), none.cast("array<int>").alias("starts"), none.cast("array<int>").alias("ends"), none.cast("array<string>").alias("items"))
-
-    def step(index, last):
-        def run(batches):
-            for batch in batches:
-                starts, ends, items = (batch.column(i).to_pylist() for i in (3, 4, 5))
-                sizes = []
-                for k, text in enumerate(strings(batch.column(1))):
-                    tokens = words(text)
-                    sizes.append(len(tokens))
-                    spans, of = find(tokens, index.value)
-                    if spans:
-                        spans = merged(spans + list(zip(starts[k], ends[k])))
-                        starts[k], ends[k], items[k] = [s for s, _ in spans], [e for _, e in spans], sorted(of.union(items[k]))
-                texts = pa.nulls(len(sizes), pa.string()) if last else batch.column(1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), texts, pa.array(sizes, pa.int64()), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], ["doc_id", "text", "n_words", "starts", "ends", "items"])
-
-        return run
-
-    for index in steps:
-        found = found.mapInArrow(step(index, index is steps[-1]), kind)
+    own = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    parts: list[DataFrame] = []
+    for index, last in _indexes(docs, benchmark, width, block_windows):
+        found = _hits(own, index)
+        if last and not parts:
+            break
+        parts.append(materialise(found, "hits"))
+        index.unpersist()
+    else:
+        # rows of one document and text fare alike in every block
+        hits = _merged_hits(parts).withColumnsRenamed({"doc_id": "of", "th": "of_th"})
+        sizes = parts[0].select("doc_id", "th", "n_words")
+        none = lambda c: F.coalesce(c, F.array().cast(hits.schema[c].dataType)).alias(c)
+        found = sizes.join(hits, sizes["doc_id"].eqNullSafe(hits["of"]) & (sizes["th"] == hits["of_th"]), "left").select("doc_id", "n_words", none("starts"), none("ends"), none("items"))
     spans = F.zip_with("starts", "ends", lambda s, e: F.struct(s.alias("start"), e.alias("end")))
     found = found.withColumn("spans", spans).withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"]))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "spans", "items")
@@ -140,11 +176,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_windows: int = 200_000) -> DataFrame:
     """The rows of ``docs``, with all their columns, in which no benchmark window occurs."""
     at = docs.columns.index("text")
-    for index in _indexes(docs, benchmark, width, block_windows):
+    for index, last in _indexes(docs, benchmark, width, block_windows):
 
         def run(batches, index=index):
             for batch in batches:
                 yield batch.filter(pa.array([not find(words(t), index.value)[0] for t in strings(batch.column(at))], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if not last:
+            docs = materialise(docs, "clean")
+            index.unpersist()
     return docs

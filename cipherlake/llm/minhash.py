@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from cipherlake.functions.storage import materialise
-from cipherlake.llm.common import LOWER, components, open_blocks, parts, possibly_in, strings
+from cipherlake.llm.common import BLOCK, LOWER, components, open_blocks, parts, possibly_in, strings
 
 ROWS = 4
 #: The chance to miss a pair at the threshold is below this.
@@ -36,9 +36,13 @@ _SCHEMA = "doc_id long, n_shingles long, k1 long, k2 long, sig array<int>"
 
 
 def bands_for(threshold: float) -> int:
-    """The least even number of bands that misses a pair at ``threshold`` with a chance below ``MISS``."""
+    """An even number of bands that misses a pair at ``threshold`` with a chance below ``MISS``.
+
+    Two bands above what independent bands need: the least and the largest value
+    under one permutation depend on each other, a little.
+    """
     n = math.ceil(math.log(MISS) / math.log(1 - threshold**ROWS))
-    return n + n % 2
+    return n + n % 2 + 2
 
 
 class _Words(dict):
@@ -142,13 +146,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) ->
     crowded = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     met = banded.join(crowded, "bucket")
     mass = met.groupBy("id").agg(F.sum("n").alias("mass"))
-    met = materialise(met.join(mass, "id").select("bucket", "id", "mass"), "met")
-    ids = met.select("id").distinct()
+    # a crowded bucket is dealt to several tasks, and its leader to each
+    salts = F.ceil(F.col("n") / BLOCK).cast("int")
+    met = materialise(met.join(mass, "id").select("bucket", "id", "mass", salts.alias("salts"), F.pmod(F.xxhash64(F.lit(5), "id"), salts).cast("int").alias("salt")), "met")
+    ids = materialise(met.select("id").distinct(), "ids")
     texts = possibly_in(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), ids, "id")
     # an inner join: a semi join would be pushed below the filter
     sets = materialise(_sets(texts.join(ids, "id"), width), "sets")
-    lead = met.groupBy("bucket").agg(F.max(F.struct("mass", "id")).alias("top")).select("bucket", F.col("top.id").alias("u"))
-    pairs = met.join(lead, "bucket").where("id <> u").select("u", F.col("id").alias("v")).distinct()
+    lead = met.groupBy("bucket").agg(F.max(F.struct("mass", "id")).alias("top"), F.max("salts").alias("salts"))
+    lead = lead.select("bucket", F.col("top.id").alias("u"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    pairs = met.join(lead, ["bucket", "salt"]).where("id <> u").select("u", F.col("id").alias("v")).distinct()
     links = materialise(_confirmed(pairs, sets, percent), "confirmed")
     comp = components(links)
     rest = open_blocks(met, comp, sets.withColumn("weight", F.size("elems")))

@@ -79,7 +79,8 @@ WITH rest AS (
 ), worst AS (
   SELECT doc_id, max(CASE WHEN coalesce(quality, 1) = 0 OR coalesce(toxic, 0) = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL) GROUP BY doc_id
 ), hosts AS (
-  SELECT host, regexp_extract(host, '([^.]*\.)?[^.]*$') AS domain, regexp_extract(host, '[^.]*$') AS suffix, count(b.bad) AS n, coalesce(sum(b.bad), 0) AS bad
+  SELECT host, regexp_extract(host, '(^|\.)(([^.]*\.)?((ac|co|com|edu|gov|ne|net|or|org)\.[a-z][a-z]|[^.]*))$', 2) AS domain,
+         regexp_extract(host, '(^|\.)((ac|co|com|edu|gov|ne|net|or|org)\.[a-z][a-z]|[^.]*)$', 2) AS suffix, count(b.bad) AS n, coalesce(sum(b.bad), 0) AS bad
   FROM marked m LEFT JOIN worst b ON b.doc_id = m.doc_id GROUP BY host
 ), overall AS (
   SELECT CASE WHEN sum(n) > 0 THEN (sum(bad) + 1) / CAST(sum(n) + 2 AS DOUBLE) ELSE 0.5 END AS rate FROM hosts

@@ -40,13 +40,17 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(_after(url), r"^[^/?#]*([^?#]*)", 1)
 
 
+#: A public suffix: the last label, or under a country's two letters one of these before it.
+SUFFIX = r"(?:(?:ac|co|com|edu|gov|ne|net|or|org)\.[a-z][a-z]|[^.]*)"
+
+
 def suffix_of(host: Column) -> Column:
-    return F.element_at(F.split(host, r"\."), -1)
+    return F.regexp_extract(host, rf"(?:^|\.)({SUFFIX})$", 1)
 
 
 def domain_of(host: Column) -> Column:
-    """The registered domain: the last two labels."""
-    return F.substring_index(host, ".", -2)
+    """The registered domain: the suffix and the label before it."""
+    return F.regexp_extract(host, rf"(?:^|\.)((?:[^.]*\.)?{SUFFIX})$", 1)
 
 
 def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:

@@ -508,6 +508,12 @@ def test_url_verdicts(spark):
         assert out[i].verdict == (rule[1] or ("block" if bound > 0.5 else "allow"))
 
 
+def test_url_suffixes(spark):
+    cases = {"a.b.co.uk": ("co.uk", "b.co.uk"), "shop.example.com": ("com", "example.com"), "com.au": ("com.au", "com.au"), "x.de": ("de", "x.de"), "xco.uk": ("uk", "xco.uk"), "localhost": ("localhost", "localhost"), "": ("", "")}
+    out = spark.createDataFrame([(h,) for h in cases], "h string").select("h", url_reputation.suffix_of(F.col("h")).alias("s"), url_reputation.domain_of(F.col("h")).alias("d")).collect()
+    assert {r.h: (r.s, r.d) for r in out} == cases
+
+
 def pgm(x):
     x = np.clip(np.rint(x), 0, 255).astype(np.uint8)
     return b"P5 %d %d 255\n" % (x.shape[1], x.shape[0]) + x.tobytes()
@@ -621,6 +627,40 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     assert left.isdisjoint(near) and out.columns == ["doc_id", "size", "source_size", "target", "taken"]
 
 
+def test_pipeline_leaves_no_near_duplicates(spark, tmp_path):
+    """Edited copies of many lengths: at the end either one of a pair is gone or what is left of the two is different; nothing but the result stays in the shared folder."""
+    import os
+
+    import corpus_pipeline
+    from cipherlake.functions.storage import shared_dir
+
+    rng = random.Random(12)
+    docs = {}
+    for i in range(120):
+        docs[i] = "\n".join(" ".join(f"t{rng.randrange(20000)}" for _ in range(rng.choice((6, 12, 40)))) for _ in range(rng.choice((1, 2, 3, 8))))
+        words = docs[i].split(" ")
+        for k in rng.sample(range(len(words)), max(1, len(words) // 100)):
+            words[k] = "edited" + ("\n" if "\n" in words[k] else "")
+        docs[1000 + i] = " ".join(words)
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs.items()], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    shared = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(shared))
+    assert set(range(120)) <= {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert len(set(os.listdir(shared)) - before) == 1
+    part = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        part = stage(spark, part, str(tmp_path))
+    left = {r.doc_id: r.text for r in part.collect()}
+    sets = {i: shingles(t, 5) for i, t in left.items()}
+    assert all(i == c for i, c in brute_components(sets, 80).items())
+    whole = {i: shingles(t, 5) for i, t in docs.items()}
+    pairs = [i for i in range(120) if 100 * len(whole[i] & whole[1000 + i]) >= 80 * len(whole[i] | whole[1000 + i])]
+    caught = [1000 + i not in left or 100 * len(sets[i] & sets[1000 + i]) < 80 * len(sets[i] | sets[1000 + i]) for i in pairs]
+    assert len(pairs) > 60 and np.mean(caught) >= 0.9
+
+
 def test_registered():
     names = entry.queries()
     assert {f"op{i}" for i in range(1, 11)} <= {n.split("_")[0] for n in names} and "pipeline" in names
