@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cipherlake.functions.storage import materialise
+from cipherlake.functions.storage import materialise, scratch
 from cipherlake.llm import decontaminate, line_dedup, minhash, mixing, toxicity
 from cipherlake.llm.common import read
 
@@ -55,7 +55,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    """All stages over ``documents``; a stage's result is kept until the next one's is written, the last one's for the caller."""
+    docs, old = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        with scratch(spark) as own:
+            docs = materialise(stage(spark, docs, sf_dir), name, keep=True)
+            if old is not None:
+                own.append(old)
+            old = docs.inputFiles()[0].rsplit("/", 1)[0] if docs.inputFiles() else None
     return docs
