@@ -158,7 +158,7 @@ def persistence_entropy(pairs: DataFrame) -> DataFrame:
 
 
 def clusters(items: DataFrame, pairs: DataFrame, share: float = 0.3) -> DataFrame:
-    """(id, cluster): items joined by forest edges of at most ``share`` of the longest. [I23, D27, D28]"""
+    """(id, cluster): items joined by forest edges of at most ``share`` of the longest. [I23]"""
     import pandas as pd
 
     kind = items.schema["id"].dataType.simpleString()

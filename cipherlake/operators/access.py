@@ -37,7 +37,7 @@ def valid_keys(presented: DataFrame, stored: DataFrame, now: str) -> DataFrame:
 
 def supply_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("lineitem", "orders", "customer", "supplier")}
-    li = t["lineitem"].where("l_quantity >= 49 and l_discount >= 0.09")
+    li = t["lineitem"]
     e = li.join(t["orders"], li["l_orderkey"] == t["orders"]["o_orderkey"]).join(t["customer"], F.col("o_custkey") == F.col("c_custkey")).join(t["supplier"], F.col("l_suppkey") == F.col("s_suppkey"))
     return e.where("s_nationkey <> c_nationkey").select(F.col("s_nationkey").alias("a"), F.col("c_nationkey").alias("b")).distinct()
 

@@ -105,7 +105,10 @@ def tls_configurations(code: DataFrame) -> DataFrame:
 
 
 def python_findings(code: DataFrame) -> DataFrame:
-    """Python calls, the first rule that names the function; sizes from ``key_size`` or the first number. [B8]"""
+    """Python calls, the first rule that names the function; sizes from ``key_size`` or the first number. [B8]
+
+    ``hashlib.new`` of a variable has the value that the variable is last given in its file.
+    """
     name = F.col("name")
     rule = F.coalesce(*[F.when(name.isin(*fs), F.lit(i)) for i, (fs, *_) in enumerate(PYTHON_CALLS)], F.when(name.contains("paramiko") & name.contains("RSAKey"), F.lit(len(PYTHON_CALLS))))
     table = [(i, *r[1:]) for i, r in enumerate((*PYTHON_CALLS, ((), "SSH-RSA", 1, 0, 8, "QS-PY-SSH-RSA-001")))]
@@ -116,7 +119,11 @@ def python_findings(code: DataFrame) -> DataFrame:
     size = F.coalesce(F.when(by_place.between(512, 16384), by_place), by_name, F.lit(0))
     curve = F.when(first.contains("SECP256R1") | first.contains("P256"), "ECDSA-P256").when(first.contains("SECP384R1") | first.contains("P384"), "ECDSA-P384")
     label = F.coalesce(curve, F.when(size > 0, F.concat_ws("-", "algorithm", size.cast("string"))), F.col("algorithm"))
-    return calls.select("path", F.col("line").alias("line_no"), "rule_id", label.alias("algorithm"), "severity", "quantum_threat", "category", size.alias("key_size"), F.lit(0.93).alias("confidence"))
+    found = calls.select("path", F.col("line").alias("line_no"), "rule_id", label.alias("algorithm"), "severity", "quantum_threat", "category", size.alias("key_size"), F.lit(0.93).alias("confidence"))
+    values = code.where("kind = 'assign'").groupBy("path", F.col("name").alias("variable")).agg(F.upper(F.regexp_extract(F.max_by(F.get("args", F.lit(0)), "line"), r'^"(.*)"$', 1)).alias("value")).where(F.col("value").isin("MD5", "SHA1", "SHA-1"))
+    named = code.where("kind = 'call' and name = 'hashlib.new'").select("path", "line", F.get("args", F.lit(0)).alias("variable")).join(values, ["path", "variable"])
+    weak = [F.lit(x).alias(c) for c, x in (("severity", 1), ("quantum_threat", 1), ("category", 4), ("key_size", 0), ("confidence", 0.85))]
+    return found.unionByName(named.select("path", F.col("line").alias("line_no"), F.lit("QS-PY-TAINT-001").alias("rule_id"), F.col("value").alias("algorithm"), *weak))
 
 
 def taint(code: DataFrame, depth: int = DEPTH) -> DataFrame:

@@ -46,12 +46,12 @@ def trade(s, d):
     """Edges and weights between nations that supply and order from each other."""
     li, o, c, su = (table(s, d, t) for t in ("lineitem", "orders", "customer", "supplier"))
     e = li.join(o, li["l_orderkey"] == o["o_orderkey"]).join(c, o["o_custkey"] == c["c_custkey"]).join(su, li["l_suppkey"] == su["s_suppkey"])
-    edges = e.where("l_quantity >= 45 and (s_nationkey + c_nationkey) % 3 = 0").select(F.col("s_nationkey").alias("a"), F.col("c_nationkey").alias("b")).distinct()
+    edges = e.select(F.col("s_nationkey").alias("a"), F.col("c_nationkey").alias("b")).distinct()
     weights = su.groupBy(F.col("s_nationkey").alias("node")).agg(F.count("*").alias("findings"), F.count_if(F.col("s_acctbal") < 0).alias("critical"))
     return edges, weights
 
 
-_TRADE = """ed AS (SELECT DISTINCT s_nationkey AS a, c_nationkey AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity >= 45 AND (s_nationkey + c_nationkey) % 3 = 0),
+_TRADE = """ed AS (SELECT DISTINCT s_nationkey AS a, c_nationkey AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey),
 we AS (SELECT s_nationkey AS node, count(*) AS findings, count(*) FILTER (WHERE s_acctbal < 0) AS critical FROM supplier GROUP BY 1),
 un AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM ed WHERE a <> b),
 sy AS (SELECT a, b, CAST(greatest(coalesce(x.findings, 0) + coalesce(y.findings, 0), 1) AS DOUBLE) AS w FROM un LEFT JOIN we x ON x.node = a LEFT JOIN we y ON y.node = b),

@@ -91,8 +91,8 @@ QUERIES = {
         f"{_POST} SELECT rule_id, round(posterior, 9) AS posterior, posterior >= 0.5 AS real, count(*) AS n FROM o GROUP BY ALL",
     ),
     "q_bayes_ranked": (
-        lambda s, d: _r(B.posterior(findings(s, d)), "posterior").orderBy(F.desc("posterior"), "l_orderkey", "l_suppkey", "l_extendedprice", "line_start").limit(50).select("posterior", "l_orderkey", "l_suppkey", "line_start"),
-        f"{_POST} SELECT round(posterior, 9) AS posterior, l_orderkey, l_suppkey, line_start FROM o ORDER BY round(posterior, 9) DESC, l_orderkey, l_suppkey, l_extendedprice, line_start LIMIT 50",
+        lambda s, d: _r(B.posterior(findings(s, d)), "posterior").orderBy(F.desc("posterior"), "l_orderkey", "l_suppkey", "l_extendedprice", "line_start").select("posterior", "l_orderkey", "l_suppkey", "line_start"),
+        f"{_POST} SELECT round(posterior, 9) AS posterior, l_orderkey, l_suppkey, line_start FROM o ORDER BY round(posterior, 9) DESC, l_orderkey, l_suppkey, l_extendedprice, line_start",
     ),
     "q_fp_rate": (lambda s, d: B.false_positive_rate(B.posterior(findings(s, d))), f"{_POST} SELECT round(avg(CAST(posterior < 0.5 AS INT)), 9) AS fp_rate FROM o"),
     "q_beta_update": (

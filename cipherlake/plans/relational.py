@@ -100,8 +100,8 @@ QUERIES = {
     "q_history": (lambda s, d: R.scans(findings(s, d)).select("scan_id", "started", "total", "readiness").orderBy("started", "scan_id"), f"WITH {F_CTE}, {SCANS} SELECT scan_id, started, total, readiness FROM scans ORDER BY started, scan_id"),
     "q_trend": (lambda s, d: R.trend(R.scans(findings(s, d)), NOW, 365).select("scan_id", "completed", "readiness", "risk_score", "total", "critical", "high"), f"WITH {F_CTE}, {SCANS} SELECT scan_id, completed, readiness, risk_score, total, critical, high FROM scans WHERE completed >= CAST('{NOW}' AS DATE) - 365"),
     "q_findings_order": (
-        lambda s, d: findings(s, d).where(F.col("scan_id") == NEW).orderBy("severity", "created_at", "l_orderkey", "l_suppkey", "l_extendedprice").limit(100).select("severity", "created_at", "file_path", "l_orderkey", "l_suppkey"),
-        f"WITH {F_CTE} SELECT severity, created_at, file_path, l_orderkey, l_suppkey FROM f WHERE scan_id = '{NEW}' ORDER BY severity, created_at, l_orderkey, l_suppkey, l_extendedprice LIMIT 100",
+        lambda s, d: findings(s, d).where(F.col("scan_id") == NEW).orderBy("severity", "created_at", "l_orderkey", "l_suppkey", "l_extendedprice").select("severity", "created_at", "file_path", "l_orderkey", "l_suppkey"),
+        f"WITH {F_CTE} SELECT severity, created_at, file_path, l_orderkey, l_suppkey FROM f WHERE scan_id = '{NEW}' ORDER BY severity, created_at, l_orderkey, l_suppkey, l_extendedprice",
     ),
     "q_upsert_scan": (
         lambda s, d: R.upsert((f := findings(s, d)), f.where((F.col("scan_id") == NEW) & (F.col("severity") < 2))).groupBy("scan_id").agg(F.count("*").alias("n")),

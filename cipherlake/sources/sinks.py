@@ -63,7 +63,7 @@ def compliance_json(findings: DataFrame) -> DataFrame:
 def table_report(findings: DataFrame) -> DataFrame:
     """The rows of the text report, most severe first. [K4, B29]"""
     short = F.concat_ws("/", F.slice(F.split("file_path", "/"), F.greatest(F.size(F.split("file_path", "/")) - 2, F.lit(1)), F.lit(3)))
-    return R.report_rows(findings).select(severity_label(F.col("severity")).alias("severity"), "algorithm", F.concat(short, F.lit(":"), F.col("line_start").cast("string")).alias("location"), F.left("description", F.lit(60)).alias("description")).orderBy("severity", "location")
+    return R.report_rows(findings).orderBy("severity", "file_path", "line_start").select(severity_label(F.col("severity")).alias("severity"), "algorithm", F.concat(short, F.lit(":"), F.col("line_start").cast("string")).alias("location"), F.left("description", F.lit(60)).alias("description"))
 
 
 def review_payload(findings: DataFrame, changed: DataFrame) -> DataFrame:
