@@ -35,13 +35,13 @@ def _occurrences(docs: DataFrame) -> DataFrame:
         x = F.rtrim(x, F.lit(" \t\n\x0b\x0c\r"))
         return F.struct(F.xxhash64(F.lit(1), x).alias("a"), F.xxhash64(F.lit(2), x).alias("b"), (x == "").alias("blank"))
 
-    hashed = docs.select("doc_id", F.xxhash64("text").alias("th"), F.transform(lines_of(F.col("text")), line).alias("hs")).where(F.size("hs") >= WINDOW)
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("th"), F.transform(lines_of(F.col("text")), line).alias("hs"))
 
     def window(i):
         three = [F.get("hs", i + k) for k in range(WINDOW)]
         return F.struct(i.alias("pos"), F.xxhash64(F.lit(3), *[x["a"] for x in three]).alias("h1"), F.xxhash64(F.lit(4), *[x["b"] for x in three]).alias("h2"), (~(three[0]["blank"] & three[1]["blank"] & three[2]["blank"])).alias("ok"))
 
-    runs = F.filter(F.transform(F.sequence(F.lit(0), F.size("hs") - WINDOW), window), lambda w: w["ok"])
+    runs = F.when(F.size("hs") >= WINDOW, F.filter(F.transform(F.sequence(F.lit(0), F.greatest(F.size("hs") - WINDOW, F.lit(0))), window), lambda w: w["ok"]))
     return hashed.select("doc_id", "th", F.explode(runs).alias("w")).select("doc_id", "th", "w.pos", "w.h1", "w.h2")
 
 
@@ -72,9 +72,14 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     covered = covered_lines(docs).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("covered").alias("__covered"))
     own = docs.drop("n_lines", "n_removed", "removed_all")
     met = own.join(covered, (own["doc_id"] == covered["__id"]) & (F.xxhash64(own["text"]) == covered["__th"]), "left")
-    met = met.withColumn("__lines", lines_of(F.col("text")))
-    rest = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__covered"))
-    left = F.when(F.col("__covered").isNull(), F.col("text")).otherwise(F.array_join(F.transform(rest, lambda i: F.get("__lines", i)), ""))
-    met = met.withColumns({"__left": left, "n_lines": F.coalesce(F.size("__lines"), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size("__covered"), F.lit(0)).cast("long")})
+
+    def cut(lines):
+        rest = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__covered"))
+        return F.struct(F.array_join(F.transform(rest, lambda i: F.get(lines, i)), "").alias("left"), F.size(lines).alias("n"))
+
+    # the lines are bound once, wherever the planner puts this
+    met = met.withColumn("__cut", F.get(F.transform(F.array(lines_of(F.col("text"))), cut), F.lit(0)))
+    left = F.when(F.col("__covered").isNull(), F.col("text")).otherwise(F.col("__cut.left"))
+    met = met.withColumns({"__left": left, "n_lines": F.coalesce(F.col("__cut.n"), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size("__covered"), F.lit(0)).cast("long")})
     met = met.withColumn("removed_all", F.col("__covered").isNotNull() & F.coalesce(F.col("__left").rlike(r"^\s*$"), F.lit(False)))
     return met.withColumn("text", F.col("__left")).select(*own.columns, "n_lines", "n_removed", "removed_all")
