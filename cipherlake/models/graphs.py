@@ -5,8 +5,13 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from cipherlake.functions.components import components
+from cipherlake.functions.labels import category_label, threat_label
 from cipherlake.models.signals import dot
 
+#: Numbers of an embedded finding.
+DIMENSIONS = 17
+
 
 def laplacian(edges: DataFrame, weights: DataFrame) -> DataFrame:
     """Entries (i, j, value) of D - W for undirected edges (a, b) and node weights (node, findings). [I19, C9]
@@ -81,6 +86,12 @@ def cut(entries: DataFrame, parts: DataFrame) -> DataFrame:
     return out.withColumn("ncut", F.col("cut") / F.nullif("volume", F.lit(0.0)))
 
 
+def cross_edges(entries: DataFrame, parts: DataFrame) -> DataFrame:
+    """(part, cross_edges): edges of the Laplacian that leave each part. [D30]"""
+    p, q = parts.select(F.col("node").alias("i"), F.col("part").alias("part")), parts.select(F.col("node").alias("j"), F.col("part").alias("other"))
+    return entries.where("i <> j").join(p, "i").join(q, "j").groupBy("part").agg(F.count_if(F.col("part") != F.col("other")).alias("cross_edges"))
+
+
 def path_hash(path: Column) -> Column:
     """h = 31 h + code point modulo 2^64, then the last four digits over 10000. [H16]
 
@@ -157,27 +168,31 @@ def persistence_entropy(pairs: DataFrame) -> DataFrame:
     return pairs.crossJoin(F.broadcast(total)).agg(F.coalesce(-F.sum(F.when(F.col("death") > 0, r * F.ln(r))), F.lit(0.0)).alias("entropy"))
 
 
-def clusters(items: DataFrame, pairs: DataFrame, share: float = 0.3) -> DataFrame:
-    """(id, cluster): items joined by forest edges of at most ``share`` of the longest. [I23]"""
-    import pandas as pd
-
-    kind = items.schema["id"].dataType.simpleString()
-    longest = pairs.agg(F.max("death").alias("most"))
-    near = pairs.crossJoin(F.broadcast(longest)).where(F.col("death") <= share * F.col("most")).select("i", "j")
-    rows = items.select(F.col("id").alias("i"), F.col("id").alias("j")).union(near)
-
-    def join(pdf):
-        parent = {v: v for v in set(pdf["i"]) | set(pdf["j"])}
+def clusters(items: DataFrame, edges: DataFrame, share: float = 0.3) -> DataFrame:
+    """(id, cluster): items joined by edges (i, j, distance) of at most ``share`` of the longest; the cluster is its smallest id. [I23]"""
+    longest = edges.agg(F.max("distance").alias("most"))
+    near = edges.crossJoin(F.broadcast(longest)).where(F.col("distance") <= share * F.col("most")).select(F.col("i").alias("u"), F.col("j").alias("v"))
+    joined = components(near).withColumnRenamed("node", "id")
+    return items.select("id").join(joined, "id", "left").select("id", F.coalesce("component", "id").alias("cluster"))
 
-        def find(x):
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
 
-        for i, j in pdf[["i", "j"]].itertuples(index=False):
-            a, b = find(i), find(j)
-            parent[max(a, b)] = min(a, b)
-        return pd.DataFrame({"id": list(parent), "cluster": [find(x) for x in parent]})
+def cluster_summaries(items: DataFrame, members: DataFrame, edges: DataFrame) -> DataFrame:
+    """Each cluster's size, centre, largest distance within and description, the largest first. [I23, D27, D28, F9]
 
-    return rows.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(join, f"id {kind}, cluster {kind}")
+    ``items`` have id, vector, category and quantum_threat, ``members`` come from
+    ``clusters``. Of equally frequent categories or threats the smaller ordinal
+    is the dominant one. A cluster of one is ``isolated`` and has the distance 0.
+    """
+    inside = edges.join(members.select(F.col("id").alias("i"), "cluster"), "i").join(members.select(F.col("id").alias("j"), F.col("cluster").alias("other")), "j")
+    widest = inside.where("cluster = other").groupBy("cluster").agg(F.max("distance").alias("diameter"))
+    centre = F.array(*[F.avg(F.get("vector", F.lit(k))) for k in range(DIMENSIONS)])
+    by = items.join(members, "id").groupBy("cluster").agg(F.count("*").alias("n"), F.mode("category", True).alias("category"), F.mode("quantum_threat", True).alias("threat"), centre.alias("centre"))
+    text = F.concat(F.col("n").cast("string"), F.lit(" findings, primarily "), category_label(F.col("category")), F.lit(" ("), threat_label(F.col("threat")), F.lit(" threat)"))
+    out = by.join(widest, "cluster", "left").select("cluster", "n", (F.col("n") == 1).alias("isolated"), F.coalesce("diameter", F.lit(0.0)).alias("diameter"), "centre", text.alias("description"))
+    return out.orderBy(F.desc("n"), "cluster")
+
+
+def top_merges(pairs: DataFrame, n: int = 5) -> DataFrame:
+    """(rank, feature): the ``n`` merges of ``persistence`` that come last, as text. [I23, F9]"""
+    most = pairs.orderBy(F.desc("death")).limit(n).select("death", F.row_number().over(Window.orderBy(F.desc("death"))).alias("rank"))
+    return most.select("rank", F.format_string("component merge at d=%.3f (persistence=%.3f)", "death", "death").alias("feature"))

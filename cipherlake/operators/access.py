@@ -35,6 +35,16 @@ def valid_keys(presented: DataFrame, stored: DataFrame, now: str) -> DataFrame:
     return met.where(F.col("expires_at").isNull() | (F.col("expires_at") > F.lit(now).cast("timestamp")))
 
 
+def keys_of(stored: DataFrame, org_id: str) -> DataFrame:
+    """An organisation's keys, without their hashes. [F13]"""
+    return stored.where(F.col("org_id") == org_id).drop("key_hash")
+
+
+def without_key(stored: DataFrame, key_id) -> DataFrame:
+    """The keys that are left when one is revoked; null ids stay. [F13]"""
+    return stored.where(~F.col("id").eqNullSafe(F.lit(key_id)))
+
+
 def supply_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("lineitem", "orders", "customer", "supplier")}
     li = t["lineitem"]

@@ -309,6 +309,50 @@ def fixes(source: DataFrame) -> DataFrame:
     return rows.select("path", "line_no", "language", "description", "confidence", F.array_join("new_lines", "\n").alias("replacement"), F.concat(F.array_join(body, "\n"), F.lit("\n")).alias("diff"))
 
 
+def _bare(c: Column) -> Column:
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
+def fix_outcomes(source: DataFrame, fixes: DataFrame) -> DataFrame:
+    """(path, line_no, status, new_line) of each fix (path, line_no, diff): whether it can still be applied. [B28]
+
+    ``applied`` if the source line (path, line_no, line) equals the diff's first
+    removed line, blanks around both aside: its first added line takes the
+    place, indented as before. Otherwise ``no diff`` (null or empty), ``out of
+    range`` (no such line), ``unparsed`` (nothing removed or nothing added) or
+    ``changed``, tested in this order, and no new line.
+    """
+    rows = F.split(F.col("diff"), "\n")
+    signed = lambda sign: F.get(F.filter(rows, lambda x: x.startswith(sign) & ~x.startswith(3 * sign)), F.lit(0)).substr(F.lit(2), F.length("diff"))
+    met = fixes.select("path", "line_no", "diff").join(source.select("path", "line_no", "line"), ["path", "line_no"], "left")
+    met = met.withColumns({"old": signed("-"), "new": signed("+")})
+    status = F.when(F.coalesce(F.length("diff"), F.lit(0)) == 0, "no diff").when(F.col("line").isNull(), "out of range").when(F.col("old").isNull() | F.col("new").isNull(), "unparsed").when(_bare(F.col("line")) != _bare(F.col("old")), "changed").otherwise("applied")
+    line = F.concat(F.regexp_extract("line", r"^[ \t]*", 0), _bare(F.col("new")))
+    return met.withColumn("status", status).select("path", "line_no", "status", F.when(F.col("status") == "applied", line).alias("new_line"))
+
+
+def apply_fixes(source: DataFrame, fixes: DataFrame) -> DataFrame:
+    """``source`` with the lines of all fixes that can be applied; of several for a line, the smallest text. [B28]"""
+    new = fix_outcomes(source, fixes).where("status = 'applied'").groupBy("path", "line_no").agg(F.min("new_line").alias("new_line"))
+    return source.join(new, ["path", "line_no"], "left").withColumn("line", F.coalesce("new_line", "line")).drop("new_line").select(*source.columns)
+
+
+def verify_fixtures(source: DataFrame) -> DataFrame:
+    """(name, before_file, fixes, passed) of fixture files ``<name>_before.<go, py, java, js>``. [B27]
+
+    A fixture passes if some line of it that names an algorithm gets a fix.
+    Nothing is compiled.
+    """
+    file = F.regexp_extract("path", r"[^/]*$", 0)
+    language = F.coalesce(*[F.when(F.col("path").endswith("_before" + e), F.lit(v)) for e, v in ((".go", "go"), (".py", "python"), (".java", "java"), (".js", "javascript"))])
+    rows = source.select("path", "line_no", "line").withColumn("language", language).where("language is not null")
+    low = F.lower("line")
+    named = low.rlike("rsa|ecdsa|md5|sha-?1") | (low.contains("des") & ~low.contains("describe"))
+    fixed = fixes(rows).select("path", "line_no", F.lit(True).alias("fixed"))
+    out = rows.join(fixed, ["path", "line_no"], "left").groupBy("path").agg(F.count_if(F.col("fixed") & named).alias("fixes"))
+    return out.select(F.regexp_replace(file, r"_before\.\w+$", "").alias("name"), file.alias("before_file"), "fixes", (F.col("fixes") > 0).alias("passed"))
+
+
 def context(findings: DataFrame, source: DataFrame, n: int = 2) -> DataFrame:
     """Source lines within ``n`` of each finding (path, line_no). [E18]"""
     near = findings.select("path", F.col("line_no").alias("at"), F.explode(F.sequence(F.col("line_no") - n, F.col("line_no") + n)).alias("line_no")).distinct()

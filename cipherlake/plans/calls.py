@@ -73,6 +73,10 @@ QUERIES = {
         lambda s, d: A.hashed_keys(table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("key_"), F.col("c_name")).alias("plaintext"))),
         "SELECT c_custkey AS id, sha256('key_' || c_name) AS key_hash, left('key_' || c_name, 10) || '...' AS prefix FROM customer",
     ),
+    "q_org_keys": (
+        lambda s, d: A.without_key(A.keys_of(A.hashed_keys(table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("key_"), F.col("c_name")).alias("plaintext"))).join(table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("org-"), F.col("c_nationkey").cast("string")).alias("org_id")), "id"), "org-3"), 7).select("id", "prefix", "org_id"),
+        "SELECT c_custkey AS id, left('key_' || c_name, 10) || '...' AS prefix, 'org-' || c_nationkey AS org_id FROM customer WHERE c_nationkey = 3 AND c_custkey <> 7",
+    ),
     "q_workflow_state": (lambda s, d: states(s, d).select("finding_id", "status", "updated_at", "moves"), f"{_STATES} SELECT finding_id, status, updated_at, moves FROM s"),
     "q_sla_breach": (lambda s, d: W.breaches(W.with_deadline(states(s, d)), NOW).select("finding_id", "status", "deadline"), f"{_STATES} SELECT finding_id, status, deadline FROM d WHERE status NOT IN ('fixed', 'verified', 'wont_fix', 'false_positive') AND CAST('{NOW}' AS TIMESTAMP) > deadline"),
     "q_progress": (

@@ -24,6 +24,12 @@ def lines_of(s, *suffixes):
     return rows.where(F.col("path").rlike("(?:" + "|".join(x.replace(".", r"\.") for x in suffixes) + ")$")) if suffixes else rows
 
 
+def edited(s):
+    """The sample lines after an edit: JavaScript lines have grown, Python's odd lines are gone."""
+    rows = lines_of(s).withColumn("line", F.when(F.col("path").endswith(".js"), F.concat("line", F.lit(" // edited"))).otherwise(F.col("line")))
+    return rows.where(~F.col("path").endswith(".py") | (F.col("line_no") % 2 == 0))
+
+
 def lines_cte(*suffixes) -> str:
     rows = [(p, lang, i, line) for p, (lang, text) in samples.FILES.items() if not suffixes or p.endswith(suffixes) for i, line in enumerate(text.split("\n"), 1)]
     return "l AS (SELECT *, trim(replace(line, chr(9), ' ')) AS t FROM (VALUES " + ", ".join(f"({_t(p)}, {_t(lang)}, {i}, {_t(line)})" for p, lang, i, line in rows) + ") AS v(path, language, line_no, line))"
@@ -150,6 +156,18 @@ QUERIES = {
         lambda s, d: D.fixes(lines_of(s)).select("path", "line_no", "diff"),
         f"{_FIXES} SELECT path, line_no, '--- a/' || path || chr(10) || '+++ b/' || path || chr(10) || '@@ -' || (line_no - len(bb)) || ',' || (len(bb) + len(aa) + 1) || ' +' || (line_no - len(bb)) || ',' || (len(bb) + len(aa) + n) || ' @@' || chr(10) || array_to_string([' ' || z || chr(10) for z in bb], '') || '-' || line || chr(10) || array_to_string(['+' || z || chr(10) for z in string_split(new, chr(10))], '') || array_to_string([' ' || z || chr(10) for z in aa], '') AS diff FROM c",
     ),
+    "q_fix_apply": (
+        lambda s, d: D.fix_outcomes(edited(s), D.fixes(lines_of(s))),
+        f"{_FIXES} SELECT path, line_no, CASE WHEN ends_with(path, '.py') AND line_no % 2 = 1 THEN 'out of range' WHEN ends_with(path, '.js') THEN 'changed' ELSE 'applied' END AS status, CASE WHEN ends_with(path, '.js') OR (ends_with(path, '.py') AND line_no % 2 = 1) THEN NULL ELSE regexp_extract(line, '^[ \\t]*') || regexp_replace(string_split(new, chr(10))[1], '^\\s+|\\s+$', '', 'g') END AS new_line FROM c",
+    ),
+    "q_fixed_source": (
+        lambda s, d: D.apply_fixes(lines_of(s), D.fixes(lines_of(s))).select("path", "line_no", "line"),
+        f"{_FIXES} SELECT l.path, l.line_no, CASE WHEN new IS NULL THEN l.line ELSE regexp_extract(l.line, '^[ \\t]*') || regexp_replace(string_split(new, chr(10))[1], '^\\s+|\\s+$', '', 'g') END AS line FROM l LEFT JOIN c USING (path, line_no)",
+    ),
+    "q_fixture_verify": (
+        lambda s, d: D.verify_fixtures(lines_of(s).withColumn("path", F.regexp_replace("path", r"\.(\w+)$", r"_before.$1"))),
+        f"{_FIXES}, g AS (SELECT l.path, count(*) FILTER (WHERE c.fix IS NOT NULL AND (regexp_matches(lower(l.line), 'rsa|ecdsa|md5|sha1|sha-1') OR (contains(lower(l.line), 'des') AND NOT contains(lower(l.line), 'describe')))) AS fixes FROM l LEFT JOIN c USING (path, line_no) WHERE regexp_matches(l.path, '\\.(go|py|java|js)$') GROUP BY 1) SELECT regexp_extract(path, '([^/.]*)\\.\\w+$', 1) AS name, regexp_replace(regexp_extract(path, '[^/]*$'), '\\.', '_before.') AS before_file, fixes, fixes > 0 AS passed FROM g",
+    ),
     "q_source_context": (
         lambda s, d: D.context(D.fixes(lines_of(s)), lines_of(s)),
         f"{_FIXES} SELECT DISTINCT c.path, c.line_no AS at, l.line_no, l.line FROM c JOIN l ON l.path = c.path AND l.line_no BETWEEN c.line_no - 2 AND c.line_no + 2",

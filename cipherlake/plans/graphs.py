@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from cipherlake.functions.labels import CATEGORIES, THREATS
 from cipherlake.models import graphs as G, hmm as H, montecarlo as M
 
 from cipherlake.operators.relational import TIES, best_by
@@ -65,7 +66,17 @@ def regions(s, d):
 
 def embedded(s, d):
     f = items(s, d)
-    return f.select(F.col("item").alias("id"), G.embed(f).alias("vector"))
+    return f.select(F.col("item").alias("id"), "category", "quantum_threat", G.embed(f).alias("vector"))
+
+
+def summaries(s, d):
+    e = embedded(s, d)
+    edges = G.distances(e)
+    return G.cluster_summaries(e, G.clusters(e, edges), edges)
+
+
+def _label(column, names):
+    return f"CASE {column} " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(names)) + " ELSE 'Unknown' END"
 
 
 _HASH = "(list_reduce(list_prepend(CAST(0 AS HUGEINT), [CAST(unicode(x) AS HUGEINT) for x in string_split(file_path, '')]), lambda a, c: (a * 31 + c) % 18446744073709551616) % 10000) / CAST(10000 AS DOUBLE)"
@@ -78,7 +89,7 @@ _PRIM = f"""WITH RECURSIVE {F_CTE}, {_ITEMS}, {_EMB}, {_DIST}, dd AS (SELECT i A
 pr(step, seen, death) AS (SELECT 0, [min(id)], CAST(NULL AS DOUBLE) FROM em
   UNION ALL SELECT step + 1, list_append(seen, arg_min(b, (distance, b))), min(distance) FROM pr, dd WHERE list_contains(seen, a) AND NOT list_contains(seen, b) GROUP BY step, seen),
 de AS (SELECT death FROM pr WHERE death IS NOT NULL)"""
-_NEAR = f"""{_PRIM}, li AS (SELECT a, b FROM dd WHERE distance <= 0.3 * (SELECT max(death) FROM de)), rc(id, other) AS (SELECT id, id FROM em UNION SELECT rc.id, b FROM rc JOIN li ON other = a), lo AS (SELECT id, min(other) AS cluster FROM rc GROUP BY id)"""
+_NEAR = f"""{_PRIM}, li AS (SELECT a, b FROM dd WHERE distance <= 0.3 * (SELECT max(distance) FROM dd)), rc(id, other) AS (SELECT id, id FROM em UNION SELECT rc.id, b FROM rc JOIN li ON other = a), lo AS (SELECT id, min(other) AS cluster FROM rc GROUP BY id)"""
 
 
 def calls_of_users(s, d):
@@ -166,7 +177,14 @@ QUERIES = {
     ),
     "q_tda_distances": (lambda s, d: _r(G.distances(embedded(s, d)), "distance", digits=9), f"WITH {F_CTE}, {_ITEMS}, {_EMB}, {_DIST} SELECT i, j, round(distance, 9) AS distance FROM di"),
     "q_tda_pairs": (lambda s, d: _r(G.persistence(G.distances(embedded(s, d))), "death", digits=9).groupBy("death").agg(F.count("*").alias("n")), f"{_PRIM} SELECT round(death, 9) AS death, count(*) AS n FROM de GROUP BY 1"),
-    "q_tda_clusters": (lambda s, d: (lambda e: G.clusters(e, G.persistence(G.distances(e))).groupBy("cluster").agg(F.count("*").alias("n")))(embedded(s, d)), f"{_NEAR} SELECT cluster, count(*) AS n FROM lo GROUP BY 1"),
+    "q_tda_clusters": (lambda s, d: (lambda e: G.clusters(e, G.distances(e)).groupBy("cluster").agg(F.count("*").alias("n")))(embedded(s, d)), f"{_NEAR} SELECT cluster, count(*) AS n FROM lo GROUP BY 1"),
+    "q_tda_summary": (lambda s, d: _r(summaries(s, d).drop("centre"), "diameter", digits=9), f"""{_NEAR}, me AS (SELECT lo.cluster, it.* FROM lo JOIN it ON item = id),
+mo AS (SELECT cluster, (SELECT arg_max(category, (n, -category)) FROM (SELECT category, count(*) AS n FROM me a WHERE a.cluster = c.cluster GROUP BY category)) AS category, (SELECT arg_max(quantum_threat, (n, -quantum_threat)) FROM (SELECT quantum_threat, count(*) AS n FROM me a WHERE a.cluster = c.cluster GROUP BY quantum_threat)) AS threat, n FROM (SELECT cluster, count(*) AS n FROM me GROUP BY cluster) c),
+wi AS (SELECT x.cluster, max(distance) AS diameter FROM di JOIN lo x ON x.id = i JOIN lo y ON y.id = j WHERE x.cluster = y.cluster GROUP BY 1)
+SELECT cluster, n, n = 1 AS isolated, round(coalesce(diameter, 0), 9) AS diameter, n || ' findings, primarily ' || {_label("category", CATEGORIES)} || ' (' || {_label("threat", THREATS)} || ' threat)' AS description FROM mo LEFT JOIN wi USING (cluster)"""),
+    "q_tda_centres": (lambda s, d: _r(summaries(s, d).select("cluster", F.posexplode("centre").alias("dim", "value")), "value", digits=9), f"{_NEAR} SELECT cluster, CAST(dim AS INT) AS dim, round(avg(vector[dim + 1]), 9) AS value FROM lo JOIN em USING (id), range({G.DIMENSIONS}) AS r(dim) GROUP BY ALL"),
+    "q_tda_top": (lambda s, d: G.top_merges(G.persistence(G.distances(embedded(s, d)))), f"{_PRIM} SELECT CAST(row_number() OVER (ORDER BY death DESC) AS INT) AS rank, format('component merge at d={{:.3f}} (persistence={{:.3f}})', death, death) AS feature FROM (SELECT death FROM de ORDER BY death DESC LIMIT 5)"),
+    "q_phase_edges": (lambda s, d: G.cross_edges(G.laplacian(*trade(s, d)), regions(s, d)), f"WITH {_TRADE} SELECT p.n_regionkey AS part, count(*) FILTER (WHERE p.n_regionkey <> q.n_regionkey) AS cross_edges FROM bo JOIN nation p ON p.n_nationkey = i JOIN nation q ON q.n_nationkey = j GROUP BY 1"),
     "q_tda_entropy": (lambda s, d: _r(G.persistence_entropy(G.persistence(G.distances(embedded(s, d)))), "entropy"), f"{_PRIM} SELECT round(-sum(death / t * ln(death / t)), 6) AS entropy FROM de, (SELECT sum(death) AS t FROM de) WHERE death > 0"),
     "q_hmm_calls": (
         lambda s, d: H.api_calls(lines_of(s, ".go")),

@@ -7,8 +7,22 @@ from pyspark.sql import functions as F
 from cipherlake.operators import compliance as C, inventory as I
 from cipherlake.sources import manifests as M
 from cipherlake.sources.bridge import F_CTE, findings, table
+from cipherlake.sources.files import cloud_keys, tls_probes
 
 NOW = "2026-01-01"
+# Written for these queries: captured handshakes and described keys.
+HANDSHAKES = [
+    ("a:443", "CONNECTED(3)\nsubject=CN = a.example.org, O = A \nissuer=CN = Example CA\nPeer signing digest: SHA256\nPeer signature type: RSA-PSS\nServer public key is 2048 bit\n    Protocol  : TLSv1.2\n    Cipher    : ECDHE-RSA-AES128-GCM-SHA256\n"),
+    ("b:443", "subject=/CN=b\r\nServer public key is 256 bit\nProtocol: TLSv1.3\nCipher: TLS_AES_256_GCM_SHA384\n"),
+    ("c:443", "connect: refused\n"),
+]
+DESCRIBED = [
+    ("aws", '{"KeyMetadata":{"KeyId":"k-1","KeyState":"Enabled","KeyUsage":"SIGN_VERIFY","KeySpec":"RSA_2048","CreationDate":1700000000}}'),
+    ("aws", '{"KeyMetadata":{"KeyId":"k-2","KeyState":"Disabled","KeyUsage":"ENCRYPT_DECRYPT","KeySpec":"","CustomerMasterKeySpec":"SYMMETRIC_DEFAULT"}}'),
+    ("gcp", '{"name":"projects/p/k","purpose":"ASYMMETRIC_SIGN","versionTemplate":{"algorithm":"EC_SIGN_P256_SHA256"}}'),
+    ("azure", '{"key":{"kid":"https://v/keys/e","kty":"EC","crv":"P-384","key_ops":["sign","verify"]}}'),
+    ("azure", '{"key":{"kid":"https://v/keys/r","kty":"RSA","key_ops":["wrapKey"]}}'),
+]
 
 
 def _kw(name):
@@ -53,6 +67,10 @@ def _q(text):
     return "'" + text.replace("'", "''") + "'"
 
 
+def _text(text):
+    return _q(text).replace("\n", "' || chr(10) || '").replace("\r", "' || chr(13) || '")
+
+
 def _values(rows):
     return "(VALUES " + ", ".join("(" + ", ".join(_q(v) if isinstance(v, str) else str(v) for v in r) + ")" for r in rows) + ")"
 
@@ -118,6 +136,14 @@ QUERIES = {
         lambda s, d: M.requirements_txt(_files(s, "requirements.txt")).select("name", "version"),
         f"WITH {_REQS} SELECT CASE WHEN position('[' IN name) > 1 THEN split_part(name, '[', 1) ELSE name END AS name, version FROM n",
     ),
+    "q_tls_probes": (
+        lambda s, d: tls_probes(s.createDataFrame(HANDSHAKES, "endpoint string, output string")),
+        f"SELECT endpoint, regexp_extract(o, 'Cipher\\s*(?:is|:)\\s*(\\S+)', 1) AS cipher_suite, regexp_extract(o, 'Protocol\\s*:\\s*(\\S+)', 1) AS tls_version, TRY_CAST(regexp_extract(o, 'public key is (\\d+) bit', 1) AS INT) AS key_size, regexp_extract(o, 'signing digest: (\\S+)', 1) AS signing_digest, regexp_extract(o, 'signature type: (\\S+)', 1) AS signature, trim(regexp_extract(o, 'subject=([^\\r\\n]+)', 1)) AS subject, trim(regexp_extract(o, 'issuer=([^\\r\\n]+)', 1)) AS issuer FROM (VALUES " + ", ".join("(" + _q(e) + ", " + _text(o) + ")" for e, o in HANDSHAKES) + ") AS v(endpoint, o)",
+    ),
+    "q_cloud_keys": (
+        lambda s, d: I.classify_keys(cloud_keys(s.createDataFrame(DESCRIBED, "provider string, json string"))).select("provider", "key_id", "spec", "usage", "state", "severity"),
+        f"WITH j AS (SELECT provider, j FROM {_values(DESCRIBED)} AS v(provider, j)), k AS (SELECT provider, CASE provider WHEN 'aws' THEN j ->> '$.KeyMetadata.KeyId' WHEN 'gcp' THEN j ->> '$.name' ELSE j ->> '$.key.kid' END AS key_id, CASE provider WHEN 'aws' THEN coalesce(nullif(j ->> '$.KeyMetadata.KeySpec', ''), j ->> '$.KeyMetadata.CustomerMasterKeySpec') WHEN 'gcp' THEN j ->> '$.versionTemplate.algorithm' ELSE concat_ws('-', j ->> '$.key.kty', j ->> '$.key.crv') END AS spec, CASE provider WHEN 'aws' THEN j ->> '$.KeyMetadata.KeyUsage' WHEN 'gcp' THEN j ->> '$.purpose' ELSE array_to_string(j ->> '$.key.key_ops[*]', ',') END AS usage, CASE provider WHEN 'aws' THEN j ->> '$.KeyMetadata.KeyState' WHEN 'gcp' THEN 'ENABLED' ELSE 'Enabled' END AS state FROM j) SELECT *, CASE WHEN regexp_matches(upper(spec), 'RSA|ECC|EC_|ECDSA|SECP') THEN 'critical' WHEN regexp_matches(upper(spec), 'HMAC_SHA_(256|384|512)|SYMMETRIC|AES') THEN 'safe' ELSE 'unknown' END AS severity FROM k",
+    ),
     "q_package_json": (
         lambda s, d: M.package_json(_files(s, "package.json")).select("name", "version", "direct"),
         f"WITH j AS (SELECT CAST({_JSON} AS JSON) AS c), e AS (SELECT c, 'dependencies' AS part, unnest(json_keys(c, '$.dependencies')) AS name, true AS direct FROM j UNION ALL SELECT c, 'devDependencies', unnest(json_keys(c, '$.devDependencies')), false FROM j) SELECT name, json_extract_string(c, '$.' || part || '.\"' || name || '\"') AS version, direct FROM e",

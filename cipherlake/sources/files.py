@@ -68,9 +68,10 @@ def commits(exported: DataFrame) -> DataFrame:
 
 
 def tls_probes(captured: DataFrame) -> DataFrame:
-    """Endpoint fields of captured handshake text (endpoint, output). [A20]"""
+    """Endpoint fields of captured handshake text (endpoint, output); empty where the text has none, a null size. [A20]"""
     at = lambda p: F.regexp_extract("output", p, 1)
-    return captured.select("endpoint", at(r"Cipher\s*(?:is|:)\s*(\S+)").alias("cipher_suite"), at(r"Protocol\s*:\s*(\S+)").alias("tls_version"), at(r"Server public key is (\d+) bit").try_cast("int").alias("key_size"), at(r"Peer signature type: (\S+)").alias("signature"), at(r"subject=(?:.*?CN\s*=\s*)([^,\n/]+)").alias("subject"))
+    line = lambda p: F.trim(at(p))
+    return captured.select("endpoint", at(r"Cipher\s*(?:is|:)\s*(\S+)").alias("cipher_suite"), at(r"Protocol\s*:\s*(\S+)").alias("tls_version"), at(r"Server public key is (\d+) bit").try_cast("int").alias("key_size"), at(r"Peer signing digest: (\S+)").alias("signing_digest"), at(r"Peer signature type: (\S+)").alias("signature"), line(r"subject=([^\r\n]+)").alias("subject"), line(r"issuer=([^\r\n]+)").alias("issuer"))
 
 
 def kms_keys(spark: SparkSession, path: str) -> DataFrame:
@@ -79,6 +80,24 @@ def kms_keys(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.col("KeyId").alias("key_id"), F.coalesce(F.nullif("KeySpec", F.lit("")), "CustomerMasterKeySpec").alias("spec"))
 
 
+def cloud_keys(described: DataFrame) -> DataFrame:
+    """(provider, key_id, spec, usage, state) of rows (provider, json): described keys of aws, gcp and azure. [A21]
+
+    An azure spec is the key type, with the curve where there is one. Fields
+    that a description lacks are null, but gcp and azure keys count as enabled.
+    Other providers and broken JSON have no key id.
+    """
+    at = lambda p: F.get_json_object("json", p)
+    by = lambda aws, gcp, azure: F.when(F.col("provider") == "aws", aws).when(F.col("provider") == "gcp", gcp).when(F.col("provider") == "azure", azure)
+    aws = F.coalesce(F.nullif(at("$.KeyMetadata.KeySpec"), F.lit("")), at("$.KeyMetadata.CustomerMasterKeySpec"))
+    azure = F.concat(at("$.key.kty"), F.coalesce(F.concat(F.lit("-"), F.nullif(at("$.key.crv"), F.lit(""))), F.lit("")))
+    usage = F.array_join(F.from_json(at("$.key.key_ops"), "array<string>"), ",")
+    return described.select(
+        "provider", by(at("$.KeyMetadata.KeyId"), at("$.name"), F.coalesce(at("$.key.kid"), at("$.kid"))).alias("key_id"), by(aws, at("$.versionTemplate.algorithm"), azure).alias("spec"),
+        by(at("$.KeyMetadata.KeyUsage"), at("$.purpose"), usage).alias("usage"), by(at("$.KeyMetadata.KeyState"), F.lit("ENABLED"), F.lit("Enabled")).alias("state"),
+    )
+
+
 def stored_scans(spark: SparkSession, path: str) -> DataFrame:
     """A store written by ``sinks.save_scans``. [A22]"""
     return spark.read.parquet(path)

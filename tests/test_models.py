@@ -156,7 +156,7 @@ def test_persistence(spark):
         inside.add(best[1])
         truth.append(best[0])
     assert deaths == pytest.approx(sorted(truth), abs=1e-9)
-    groups = graphs.clusters(items, graphs.persistence(graphs.distances(items))).groupBy("cluster").agg(F.collect_set("id").alias("ids")).collect()
+    groups = graphs.clusters(items, graphs.distances(items)).groupBy("cluster").agg(F.collect_set("id").alias("ids")).collect()
     assert sorted(sorted(r.ids) for r in groups) == [list(range(10)), list(range(10, 20))]
 
 
