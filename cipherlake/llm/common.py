@@ -6,7 +6,6 @@ import zlib
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cipherlake.functions.storage import materialise
 
 #: A-Z to a-z on UTF-8 bytes; other code points stay as they are.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -84,32 +83,6 @@ def labelled_sample(spark, docs, labels, label, per_class, seed=11):
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of ``edges (u, v)``: rows ``(node, component)``, the smallest node reachable.
-
-    Alternating large-star and small-star contraction: every round is two
-    aggregations with map-side combine and two joins that adaptive execution can
-    split, so a hub with very many links is never gathered in one task. The
-    rounds are logarithmic in the longest path. Nodes without links do not
-    appear. Each round is written to the shared folder.
-    """
-    both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
-    now, mark = materialise(both, "links"), None
-    while True:
-        new = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(new) == mark or not new[0]:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
-        mark = tuple(new)
-        # large star: neighbours above a node move to the smallest of its neighbours and itself
-        sym = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = sym.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # small star: the neighbours below a node, and the node itself, move to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).distinct()
-        now = materialise(small, "links")
-
-
 def open_blocks(met: DataFrame, comp: DataFrame, items: DataFrame) -> DataFrame:
     """Blocks of members that must be compared directly: rows (bucket, i, j, comp) and the columns of ``items``.
 

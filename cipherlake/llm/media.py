@@ -28,8 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from cipherlake.functions.components import components
 from cipherlake.functions.storage import materialise
-from cipherlake.llm.common import components, parts, possibly_in
+from cipherlake.llm.common import parts, possibly_in
 
 SCALES = (1.0, 1.25, 1.5625)
 RADIUS, BITS, ANGLES = 10, 128, 32

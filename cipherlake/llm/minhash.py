@@ -24,8 +24,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from cipherlake.functions.components import components
 from cipherlake.functions.storage import materialise
-from cipherlake.llm.common import BLOCK, LOWER, components, open_blocks, parts, possibly_in, strings
+from cipherlake.llm.common import BLOCK, LOWER, open_blocks, parts, possibly_in, strings
 
 ROWS = 4
 #: The chance to miss a pair at the threshold is below this.

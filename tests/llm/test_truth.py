@@ -12,6 +12,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from cipherlake.functions.components import components
 from cipherlake.llm import chat, common, decontaminate, line_dedup, media, minhash, mixing, quality, secret_scan, toxicity, url_reputation
 
 SF = "/root/testdata/sf0.01"
@@ -84,7 +85,7 @@ def test_min_max_estimates_similarity():
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 440)] + [(500, 600 + i) for i in range(50)]
-    got = {r.node: r.component for r in common.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     truth = brute_components({n: {frozenset(e) for e in edges if n in e} for n in {x for e in edges for x in e}}, 0)
     assert got == {n: c for n, c in truth.items() if any(a != b for a, b in edges if n in (a, b))}
 
