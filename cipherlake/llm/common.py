@@ -1,4 +1,4 @@
-"""Helpers that the corpus operators share: shared storage, row keys, connected components."""
+"""Helpers that the corpus operators share: tables and batches, folds, membership filters, blocks."""
 
 from __future__ import annotations
 
@@ -6,12 +6,19 @@ import zlib
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-
 #: A-Z to a-z on UTF-8 bytes; other code points stay as they are.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+#: Bytes of rows that travel to Python in one batch, whatever the texts' lengths.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table. Unless the session has a bound of its own, its Arrow batches are held to ``BATCH_BYTES`` from here on: 10,000 long texts would not fit."""
+    if spark.conf.get(_BATCH_SETTING, None) is None:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
