@@ -32,7 +32,7 @@ QUERIES = {
         "SELECT name, CASE regexp_replace(lower(trim(name)), '[^a-z0-9]', '', 'g') WHEN 'cnsa2' THEN 'CNSA 2.0' WHEN 'cnsa20' THEN 'CNSA 2.0' WHEN 'nsm10' THEN 'NSM-10' WHEN 'eupqc' THEN 'EU PQC' WHEN 'pcidss' THEN 'PCI DSS 4.0' WHEN 'hipaa' THEN 'HIPAA' END AS framework FROM (VALUES " + ", ".join(f"('{n}')" for n in NAMES) + ") AS v(name)",
     ),
     "q_sarif_runs": (
-        lambda s, d: K.sarif(findings(s, d)).select("rule_id", F.size(F.from_json("run", "results array<struct<ruleId:string>>")["results"]).cast("long").alias("results")),
+        lambda s, d: K.sarif(findings(s, d)).select("rule_id", F.size(F.from_json("run", "results array<struct<ruleId:string>>")["results"]).alias("n")).groupBy("rule_id").agg(F.sum("n").alias("results")),
         f"WITH {F_CTE} SELECT rule_id, count(*) AS results FROM f GROUP BY rule_id",
     ),
     "q_finding_json": (

@@ -29,19 +29,34 @@ def finding_json(findings: DataFrame) -> DataFrame:
     return named.select(F.to_json(F.struct("*")).alias("json"))
 
 
+#: Results of a SARIF run, about, and of equal ones that stay together; rules whose texts are broadcast at most.
+RUN, LOT, MOST_RULES = 1000, 100, 20_000
+
+
 def sarif(findings: DataFrame, tool: str = "cipherlake") -> DataFrame:
-    """A SARIF 2.1.0 run per rule: its rule entry and results. [K5, G3]
+    """(rule_id, part, run): SARIF 2.1.0 runs of one rule each, its rule entry and about ``RUN`` of its results. [K5, G3]
 
-    A run holds the results of one rule, so no row gathers all findings; the
-    format allows any number of runs.
+    Every finding is a result of one run. A rule has as many runs as its results
+    need, dealt by hash, so no row grows with the findings; the format allows any
+    number of runs. Equal results are counted first and dealt in lots of ``LOT``.
     """
     result = F.struct(
         F.col("rule_id").alias("ruleId"), sarif_level(F.col("severity")).alias("level"), F.struct(F.concat(F.col("algorithm"), F.lit(": "), F.col("description")).alias("text")).alias("message"),
         F.array(F.struct(F.struct(F.struct(F.col("file_path").alias("uri")).alias("artifactLocation"), F.struct(F.col("line_start").alias("startLine")).alias("region")).alias("physicalLocation"))).alias("locations"),
     )
-    rules = R.rules_of(findings).select("rule_id", F.array(F.struct(F.col("rule_id").alias("id"), F.struct(F.col("description").alias("text")).alias("shortDescription"))).alias("rules"))
-    by_rule = findings.groupBy("rule_id").agg(F.collect_list(result).alias("results")).join(rules, "rule_id")
-    return by_rule.select("rule_id", F.to_json(F.struct(F.struct(F.struct(F.lit(tool).alias("name"), "rules").alias("driver")).alias("tool"), "results")).alias("run"))
+    equal = materialise(findings.select("rule_id", result.alias("result")).groupBy("rule_id", "result").agg(F.count("*").alias("n")), "results")
+    entry = F.array(F.struct(F.col("rule_id").alias("id"), F.struct(F.col("description").alias("text")).alias("shortDescription")))
+    sizes = equal.groupBy(F.col("rule_id").alias("sized")).agg(F.ceil(F.sum("n") / RUN).alias("runs"))
+    rules = R.rules_of(findings).select("rule_id", entry.alias("rules")).join(sizes, F.col("rule_id").eqNullSafe(F.col("sized")))
+    rules = materialise(rules.select(F.col("rule_id").alias("rule"), "rules", "runs"), "rules")
+    rules = F.broadcast(rules) if rules.count() <= MOST_RULES else rules
+    own = F.col("rule_id").eqNullSafe(F.col("rule"))
+    lots = equal.withColumn("lot", F.explode(F.expr(f"sequence(0L, (n - 1) div {LOT})"))).withColumn("n", F.least(F.lit(LOT), F.col("n") - F.col("lot") * LOT).cast("int"))
+    dealt = lots.join(rules.select("rule", "runs"), own).select("rule_id", F.pmod(F.xxhash64("result", "lot"), "runs").alias("part"), F.struct("result", "n").alias("lot"))
+    runs = dealt.groupBy("rule_id", "part").agg(F.sort_array(F.collect_list("lot")).alias("lots")).join(rules.select("rule", "rules"), own)
+    results = F.flatten(F.transform("lots", lambda x: F.array_repeat(x["result"], x["n"]))).alias("results")
+    named = F.struct(F.concat_ws("/", "rule_id", F.col("part").cast("string")).alias("id")).alias("automationDetails")
+    return runs.select("rule_id", "part", F.to_json(F.struct(F.struct(F.struct(F.lit(tool).alias("name"), "rules").alias("driver")).alias("tool"), named, results)).alias("run"))
 
 
 def bill_of_materials(findings: DataFrame) -> DataFrame:

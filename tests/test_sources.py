@@ -122,6 +122,19 @@ def test_exchange_formats(spark, sf):
     assert sinks.review_payload(f, spark.createDataFrame([("src/f1.go",)], "path string")).where("event = 'REQUEST_CHANGES'").count() >= 0
 
 
+def test_sarif_runs_are_bounded(spark):
+    """A rule's results come in several runs, equal ones and a null rule too, and none is lost."""
+    kinds = "CASE WHEN id % 4 = 0 THEN 'R-1' WHEN id % 400 = 1 THEN NULL ELSE 'R-0' END AS rule_id"
+    f = spark.range(20_000).selectExpr(kinds, "0 AS severity", "'RSA' AS algorithm", "'usage' AS description", "IF(id % 2 = 0, '/same', concat('/f', id)) AS file_path", "1 AS line_start", "0L AS l_suppkey", "0D AS l_quantity", "0D AS l_extendedprice", "id AS l_orderkey", "DATE'2020-01-01' AS created_at")
+    uri = "transform(from_json(run, 'results array<struct<locations:array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>>>>>>').results, x -> x.locations[0].physicalLocation.artifactLocation.uri)"
+    runs = sinks.sarif(f).selectExpr("rule_id", "part", f"{uri} AS uri").cache()
+    assert runs.selectExpr("max(size(uri))").first()[0] <= 2 * sinks.RUN and runs.where("rule_id = 'R-0'").count() >= 10
+    got = runs.select("rule_id", F.explode("uri").alias("file_path")).groupBy("rule_id", "file_path").count()
+    want = f.groupBy("rule_id", "file_path").count()
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    runs.unpersist()
+
+
 def test_empty_findings(spark, sf):
     none = findings(spark, sf).limit(0)
     assert compliance.reports(none).where("overall = 'compliant'").count() == 5
