@@ -15,7 +15,10 @@ that nothing shares are dropped by a count of keys alone. The members of an entr
 are compared with one leader, the smallest id, so a group of
 edited copies costs its size and not its square. Entries whose members are in
 several components afterwards are finished exactly: their members outside the
-largest component are compared with all others of another component.
+largest component meet all others of another component, and images with one
+descriptor at most 6 bits apart are compared whole; only such can match. An entry of more than
+``SPLIT`` members is parted by the bits that its table has not sampled, in 7 pieces:
+descriptors at most 6 bits apart agree in one of them, so nothing is lost.
 """
 
 from __future__ import annotations
@@ -35,8 +38,10 @@ from cipherlake.llm.common import parts, possibly_in
 SCALES = (1.0, 1.25, 1.5625)
 RADIUS, BITS, ANGLES = 10, 128, 32
 TABLES, SAMPLED, MOST_BITS = 9, 40, 6
-#: Descriptors of an image that meet some of another, for the two to be compared.
+#: Descriptors of an image that meet some of a leader, for the two to be compared.
 HITS = 2
+#: Members of an entry that meet each other at most, but for what two partings leave together.
+SPLIT = 512
 #: Images of a group, about; pairs of groups are verified together.
 GROUP = 8192
 #: Rows of a distance or transform table that are held at a time.
@@ -334,17 +339,68 @@ def _led(met: DataFrame) -> DataFrame:
     return _proposed(met.join(lead, "bucket").where("id <> u").select("u", F.col("id").alias("v"), "p"))
 
 
-def _unled(met: DataFrame, comp: DataFrame) -> DataFrame:
-    """(u, v): what leaders have not joined, members of an entry in different components; those of its largest one not with each other."""
+def _descriptor_words(items: DataFrame) -> DataFrame:
+    """(id, p, a, b): the two halves of every descriptor."""
+
+    def run(batches):
+        for batch in parts(batches, 500):
+            data = [np.frombuffer(p, POINT) for p in batch.column(1).to_pylist()]
+            if not sum(map(len, data)):
+                continue
+            ids = pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(p) for p in data]), pa.int64())
+            halves = _words(np.concatenate(data)).view("<i8")
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate([np.arange(len(p), dtype=np.int32) for p in data])), *[pa.array(halves[:, i]) for i in (0, 1)]], ["id", "p", "a", "b"])
+
+    return items.select("id", "points").mapInArrow(run, "id long, p int, a long, b long")
+
+
+def _pieces(levels: int = 2) -> list[list[tuple[int, int, int, int]]]:
+    """By level, (path, child, mask of a, mask of b): the bits that a path has not used, in one piece more than descriptors of a match differ."""
+    left, out, name = {t: np.setdiff1d(np.arange(BITS), s) for t, s in enumerate(SAMPLES)}, [], TABLES
+    for _ in range(levels):
+        rows, below = [], {}
+        for path, places in left.items():
+            for j in range(MOST_BITS + 1):
+                piece = places[j :: MOST_BITS + 1]
+                mask = np.packbits(np.isin(np.arange(BITS), piece)).view("<i8")
+                rows.append((path, name, int(mask[0]), int(mask[1])))
+                below[name] = np.setdiff1d(places, piece)
+                name += 1
+        out.append(rows)
+        left = below
+    return out
+
+
+def _parted(rows: DataFrame) -> DataFrame:
+    """``rows (bucket, path, n, a, b, ...)`` with entries of more than ``SPLIT`` members parted: any two at most ``MOST_BITS`` apart stay together in one part."""
+    done = None
+    for level in _pieces():
+        crowded = rows.where(F.col("n") > SPLIT)
+        if crowded.isEmpty():
+            break
+        small = rows.where(F.col("n") <= SPLIT)
+        done = small if done is None else done.unionByName(small)
+        masks = rows.sparkSession.createDataFrame(level, "path int, child int, ma long, mb long")
+        key = F.xxhash64("bucket", "child", F.col("a").bitwiseAND(F.col("ma")), F.col("b").bitwiseAND(F.col("mb")))
+        cut = crowded.join(F.broadcast(masks), "path").withColumns({"bucket": key, "path": F.col("child")}).drop("child", "ma", "mb", "n")
+        rows = materialise(cut.join(cut.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket").select(*rows.columns), "parted")
+    return rows if done is None else done.unionByName(rows)
+
+
+def _unled(met: DataFrame, comp: DataFrame, items: DataFrame) -> DataFrame:
+    """(u, v): what leaders have not joined, members of an entry in different components with a descriptor at most ``MOST_BITS`` apart; those of its largest one not with each other."""
     placed = met.join(comp.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", "p", F.coalesce("component", "id").alias("comp"))
     sizes = placed.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
     whole = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("comps"), F.max(F.struct("n", "comp")).alias("top"))
     # of two members one led
-    open_ = whole.where("n > 2 and comps > 1").select("bucket", F.col("top.comp").alias("main"))
-    placed = materialise(placed.join(open_, "bucket"), "open")
+    open_ = whole.where("n > 2 and comps > 1").select("bucket", "n", F.col("top.comp").alias("main"))
+    placed = placed.join(open_, "bucket").join(_descriptor_words(items), ["id", "p"])
+    placed = _parted(materialise(placed.select("bucket", F.expr("CAST(bucket & 255 AS INT)").alias("path"), "n", "id", "comp", "main", "a", "b"), "open")).drop("n", "path")
     a, b = placed.where("comp <> main").alias("a"), placed.alias("b")
     apart = (F.col("a.comp") != F.col("b.comp")) & ((F.col("b.comp") == F.col("b.main")) | (F.col("a.id") < F.col("b.id")))
-    return _proposed(a.join(b, "bucket").where(apart).select(F.col("a.id").alias("u"), F.col("b.id").alias("v"), F.col("b.p")))
+    gap = F.bit_count(F.col("a.a").bitwiseXOR(F.col("b.a"))) + F.bit_count(F.col("a.b").bitwiseXOR(F.col("b.b")))
+    near = (F.col("a.bucket") == F.col("b.bucket")) & apart & (gap <= MOST_BITS)
+    return a.join(b, near).select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct()
 
 
 def _verified(pairs: DataFrame, items: DataFrame, least: int, share: float) -> DataFrame:
@@ -384,7 +440,7 @@ def image_copies(images: DataFrame, least: int = 5, share: float = 0.3) -> DataF
     # entries that are alone and pass the filter propose nothing
     met = materialise(possibly_in(_entries(items), crowded, "bucket"), "met")
     links = _verified(_led(met), items, least, share)
-    more = _verified(_unled(met, materialise(components(links), "components")), items, least, share)
+    more = _verified(_unled(met, materialise(components(links), "components"), items), items, least, share)
     comp = materialise(components(links.union(more)), "components")
     by_class = reps.select("k1", "k2", F.col("id").alias("rep")).join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
     out = usable.join(by_class, ["k1", "k2"]).select("id", "n_points", "component_id")

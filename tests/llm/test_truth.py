@@ -314,6 +314,28 @@ def test_secrets_planted_in_the_corpus_are_found(spark, texts):
     assert len(hit) > 100 and np.mean(hit) >= 0.9 and np.mean([new[i] for i in new if i not in truth]) < 0.1
 
 
+def test_crowded_image_entries_lose_no_near_descriptors(spark, monkeypatch):
+    """Of entries with many members only descriptors that can match propose a pair, and all of them, parted or not."""
+    rng = np.random.default_rng(3)
+    points = np.zeros(300, media.POINT)
+    base = rng.integers(0, 256, media.BITS // 8, np.uint8)
+    bits = np.repeat(np.unpackbits(base)[None], 300, 0)
+    free = np.setdiff1d(np.arange(media.BITS), media.SAMPLES[0])
+    for row in bits:
+        at = rng.permutation(free)[: rng.integers(0, 9)]
+        row[at] ^= 1
+    points["d"] = np.packbits(bits, axis=1)
+    items = spark.createDataFrame([(i, points[i : i + 1].tobytes()) for i in range(300)], "id long, points binary")
+    met = spark.range(300).selectExpr("0L AS bucket", "id", "0 AS p")
+    comp = spark.createDataFrame([(i, 0) for i in range(5)], "node long, component long")
+    gap = (bits[:, None] != bits).sum(-1)
+    want = {(i, j) for i in range(300) for j in range(i) if gap[i, j] <= media.MOST_BITS and not (i < 5 and j < 5)}
+    for most in (media.SPLIT, 20):
+        monkeypatch.setattr(media, "SPLIT", most)
+        got = [tuple(r) for r in media._unled(met, comp, items).collect()]
+        assert len(got) == len(want) and {(max(r), min(r)) for r in got} == want and len(want) < 300 * 299 / 4
+
+
 def test_secret_network_learns_from_every_document(spark):
     """Of 1,600 documents, what the last in any order holds changes the network too; its windows are counted by plain code."""
     rows = [(i, f"value {i} of www.example{i}.org/page/{i} and more words here") for i in range(1600)]
