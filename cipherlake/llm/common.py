@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: A-Z to a-z on UTF-8 bytes; other code points stay as they are.
@@ -86,7 +87,8 @@ def labelled_sample(spark, docs, labels, label, per_class, seed=11):
     rows = picked.collect()
     if not rows:
         return docs.select("doc_id", "text", F.lit(0).alias("label")).limit(0)
-    ids = spark.createDataFrame(rows, "doc_id long, label int")
+    # as Arrow: from a list of rows Spark would start Python workers of another kind, which idle beside the others
+    ids = spark.createDataFrame(pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "label": pa.array([r[1] for r in rows], pa.int32())}))
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
 
 

@@ -33,6 +33,8 @@ ROWS = 4
 MISS = 1e-5
 #: Set elements hashed at a time; bounds the memory a very long text takes.
 CHUNK = 1 << 14
+#: Shared elements, and members, of a block that are compared at a time; they bound a worker's memory beside the n x n counts.
+COLUMNS, MEMBERS = 1024, 128
 _SCHEMA = "doc_id long, n_shingles long, k1 long, k2 long, sig array<int>"
 
 
@@ -195,23 +197,29 @@ def _links_in_block(percent: int):
         if len(set(comps)) < 2:
             return pd.DataFrame({"u": ids[:0], "v": ids[:0]})
         sizes = np.array([len(x) for x in rows["elems"]])
-        elems, col, df = np.unique(np.concatenate(rows["elems"].to_list()), return_inverse=True, return_counts=True)
-        row = np.repeat(np.arange(len(ids)), sizes)
-        shared = df[col] > 1
-        row, col = row[shared], (np.cumsum(df > 1) - 1)[col[shared]]
-        order = np.argsort(col, kind="stable")
-        row, col = row[order], col[order]
-        both = np.zeros((len(ids), len(ids)), np.float32)
-        for start in range(0, int(df[df > 1].size), 4096):
-            a, b = np.searchsorted(col, (start, start + 4096))
-            has = np.zeros((len(ids), 4096), np.float32)
+        n, elems = len(ids), np.concatenate(rows["elems"].to_list())
+        order = np.argsort(elems)
+        elems, row = elems[order], np.repeat(np.arange(n, dtype=np.int32), sizes)[order]
+        del order
+        new = np.append(True, elems[1:] != elems[:-1])
+        shared = ~(new & np.append(new[1:], True))
+        del elems
+        # places of members and of what two of them have at least, in the order of the latter
+        row, col = row[shared], np.cumsum(new[shared], dtype=np.int32) - 1
+        both = np.zeros((n, n), np.float32)
+        for start in range(0, int(col[-1]) + 1 if len(col) else 0, COLUMNS):
+            a, b = np.searchsorted(col, (start, start + COLUMNS))
+            has = np.zeros((n, COLUMNS), np.float32)
             has[row[a:b], col[a:b] - start] = 1
             both += has @ has.T
-        both = both.astype(np.int64)
-        link = (100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)) & (comps[:, None] != comps[None, :])
+        link = np.empty((n, n), bool)
+        for i in range(0, n, MEMBERS):
+            common = both[i : i + MEMBERS].astype(np.int64)
+            link[i : i + MEMBERS] = (100 * common >= percent * (sizes[i : i + MEMBERS, None] + sizes[None, :] - common)) & (comps[i : i + MEMBERS, None] != comps[None, :])
         label = ids.copy()
         while True:
-            new = np.minimum(label, np.where(link, label[None, :], np.iinfo(np.int64).max).min(1))
+            reached = [np.where(link[i : i + MEMBERS], label[None, :], np.iinfo(np.int64).max).min(1) for i in range(0, n, MEMBERS)]
+            new = np.minimum(label, np.concatenate(reached))
             if (new == label).all():
                 break
             label = new

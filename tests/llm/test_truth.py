@@ -3,9 +3,11 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -72,6 +74,28 @@ def test_links_between_edited_copies_without_their_source(spark):
     assert got == brute_components({i: shingles(t, 3) for i, t in rows}, 85)
 
 
+def test_blocks_are_compared_in_bounded_memory():
+    """The links that all pairs give, and no more beside the counts than a few MB for a full block."""
+    rng = np.random.default_rng(1)
+    bases = [rng.integers(0, 1 << 62, 250) for _ in range(40)]
+    n, comps = 1024, np.arange(1024) // 2
+    elems = [np.unique(np.append(rng.choice(bases[i % 40], 212 + 19 * (i % 3), replace=False), rng.integers(0, 1 << 62, 8))) for i in range(n)]
+    rows = pd.DataFrame({"id": rng.permutation(n), "comp": comps, "elems": elems})
+    tracemalloc.start()
+    got = minhash._links_in_block(80)(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    edges, ids, sets = [], rows["id"].tolist(), [set(x.tolist()) for x in elems]
+    for b in range(40):
+        for i in range(b, n, 40):
+            edges += [(i, j) for j in range(i + 40, n, 40) if comps[i] != comps[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    label = dict(enumerate(range(n)))
+    for i, j in sorted(edges) * 40:
+        label[i] = label[j] = min(label[i], label[j], key=ids.__getitem__)
+    assert edges and dict(zip(got["u"], got["v"])) == {ids[i]: ids[k] for i, k in label.items() if i != k}
+    assert peak < 25e6
+
+
 def test_min_max_estimates_similarity():
     words, rng = minhash._Words(), random.Random(1)
     mul, add = minhash.permutations(256)
@@ -448,6 +472,13 @@ def test_labelled_sample_leaves_out_contradictions(spark):
     assert common.labelled_sample(spark, docs, labels, "toxic", 3).count() == 6
 
 
+def test_labelled_sample_starts_no_python_workers(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    sample = common.labelled_sample(spark, spark.range(40).selectExpr("id AS doc_id", "'t' AS text"), labels, "toxic", 100)
+    assert "RDD" not in sample._jdf.queryExecution().executedPlan().toString()
+    assert sample.dtypes == [("doc_id", "bigint"), ("text", "string"), ("label", "int")]
+
+
 def test_quality_trees_against_plain_walk():
     """Gathers by level against one row at a time; the first split against the best of all splits; statistics recounted."""
     rng = np.random.default_rng(2)
