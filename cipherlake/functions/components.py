@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, functions as F
 
 from cipherlake.functions.storage import materialise
 
+#: Links that a task of a round writes, at most about; a round never has more links than the one before.
+LINKS = 1 << 17
+
 
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges (u, v)``: rows ``(node, component)``, the smallest node reachable.
@@ -14,7 +19,8 @@ def components(edges: DataFrame) -> DataFrame:
     aggregations with map-side combine and two joins that adaptive execution can
     split, so a hub with very many links is never gathered in one task. The
     rounds are logarithmic in the longest path. Nodes without links do not
-    appear. Each round is written to the shared folder.
+    appear. Each round is written to the shared folder, in
+    files of about ``LINKS`` links: a file for every shuffle partition would cost more than its links.
     """
     both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
     now, mark = materialise(both, "links"), None
@@ -30,4 +36,4 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: the neighbours below a node, and the node itself, move to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).distinct()
-        now = materialise(small, "links")
+        now = materialise(small.coalesce(math.ceil(new[0] / LINKS)), "links")

@@ -9,6 +9,10 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: For folders of files: no checksum file beside each file. Where Hadoop has no native library it starts a process for every file
+#: and folder made, to set its mode, and until that process is under way it shows the whole memory of the executor a second time.
+_PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
 #: Folders written within each open ``scratch``, the innermost last.
 _SCOPES: list[list[str]] = []
 
@@ -32,7 +36,7 @@ def materialise(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     if _SCOPES and not keep:
         _SCOPES[-1].append(path)
-    df.write.parquet(path)
+    df.write.options(**(_PLAIN_FILES if path.startswith("file:") else {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -14,6 +14,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from cipherlake.functions import storage
 from cipherlake.functions.components import components
 from cipherlake.llm import chat, common, decontaminate, line_dedup, media, minhash, mixing, quality, secret_scan, toxicity, url_reputation
 
@@ -114,6 +115,25 @@ def test_components(spark):
     assert got == {n: c for n, c in truth.items() if any(a != b for a, b in edges if n in (a, b))}
 
 
+def test_components_write_few_files(spark, tmp_path, monkeypatch):
+    """A round of few links is one file however many shuffle partitions there are, and no file has a checksum file beside it."""
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in held}
+    monkeypatch.setattr(storage, "shared_dir", lambda spark: f"file://{tmp_path}")
+    edges = [(i, i + 1) for i in range(300) if i % 30 != 7]
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == {n: max([0, *(s for s in range(8, 300, 30) if s <= n)]) for e in edges for n in e}
+    rounds = sorted(tmp_path.glob("links-*"), key=lambda d: (d / "_SUCCESS").stat().st_mtime_ns)
+    assert len(rounds) > 2 and not list(tmp_path.rglob("*.crc"))
+    assert [len(list(d.glob("part-*"))) for d in rounds[1:]] == [1] * (len(rounds) - 1)
+
+
 def wrapped(text, most=25):
     """Lines of at most ``most`` words, by single characters."""
     out, now, words, inside = [], "", 0, False
